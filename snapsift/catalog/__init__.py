@@ -1,6 +1,6 @@
 """Checkable queries over the driver's tables."""
 
-from . import diffs  # noqa: F401
+from . import diffs, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

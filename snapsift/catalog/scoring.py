@@ -384,7 +384,7 @@ def evaluate_selection(spark, sf):
 
     records = plates(spark, sf)
     table = fx.comparisons(spark, sf)
-    return evaluation.evaluate_selection(records, evaluation.demo_training(table, records))
+    return evaluation.evaluate_selection(records, evaluation.demo_training(table))
 
 
 # --- flagship: diff, labels, score, metric in one question --------------------------------

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.running import WINDOW_ROWS, running_totals
 from ..functions.runtime import settle
@@ -162,7 +163,7 @@ def wilcoxon_sums(df: DataFrame, algorithms: list[str], window_rows: int = WINDO
     return sums.select("a", "b", "n", "w_plus", "w_minus", z.alias("z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else np.nan)

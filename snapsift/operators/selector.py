@@ -195,9 +195,9 @@ def apply_scaling(cells: DataFrame, scaling: DataFrame) -> DataFrame:
 def leave_one_trial_out(rows: DataFrame, left_out: str) -> DataFrame:
     """Rows of the other trials with their ``part``; the least trial name is validation."""
     others = rows.filter(F.col("trial") != left_out)
-    least = others.agg(F.min("trial").alias("_least"))
-    part = F.when(F.col("trial") == F.col("_least"), "validation").otherwise("training")
-    return others.join(F.broadcast(least)).withColumn("part", part).drop("_least")
+    least = others.agg(F.min("trial")).first()[0]
+    part = F.when(F.col("trial") == F.lit(least), "validation").otherwise("training")
+    return others.withColumn("part", part)
 
 
 # --- model ------------------------------------------------------------------------------------

@@ -36,18 +36,14 @@ def score_with_selector(
     return ensemble.topk_ensemble(scores, chosen)
 
 
-def demo_training(comparisons: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Meta-features and performance of a comparison table, by dataset name.
-
-    The statistics of each dataset are its size, width and label share; ``records`` are
-    described by the same three.
-    """
+def demo_training(comparisons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Meta-features and performance of a comparison table, by dataset name."""
     named = comparisons.withColumn("dataset", selector.dataset_name())
-    cells = table_metafeatures(named)
-    return cells, named.select("dataset", "algorithm", "auroc")
+    return table_metafeatures(named), named.select("dataset", "algorithm", "auroc")
 
 
 def table_metafeatures(named: DataFrame) -> DataFrame:
+    """Size statistics of each dataset of a comparison table, named as in the full set."""
     wide = named.groupBy("dataset").agg(
         F.log(F.sum("num_samples")).alias("log_n_rows"),
         F.max("num_columns").cast("double").alias("n_features"),

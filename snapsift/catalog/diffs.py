@@ -131,10 +131,11 @@ def write_read_diff(spark, sf):
        FROM cell c JOIN plate p ON c.dataset = p.dataset AND c.rec_id = p.rec_id GROUP BY c.dataset, c.rec_id""",
 ))
 def write_read_features(spark, sf):
-    from .scoring import plates
+    from ..operators import preprocess
+    from .scoring import raw_plates
 
     path = scratch_path(spark, "features")
-    src.write_features(plates(spark, sf), path)
+    src.write_features(preprocess.preprocess_plates(raw_plates(spark, sf)), path)
     text = F.transform("features", lambda x: F.format_string("%.4f", x))
     return src.read_features(spark, path).select(
         "dataset", "rec_id", F.array_join(text, "|").alias("features"), "y"
@@ -443,14 +444,16 @@ def discover_key(spark, sf):
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(key)], "position long, key_col string")
 
 
-WIDE_OUT = ", ".join(f"left_{c}, right_{c}" for c in VALUES if c != "o_orderdate")
+WIDE_OUT = "CAST(left_o_custkey AS VARCHAR) AS left_o_custkey, CAST(right_o_custkey AS VARCHAR) AS right_o_custkey, " + ", ".join(
+    f"left_{c}, right_{c}" for c in VALUES if c not in ("o_orderdate", "o_custkey"))
 
 
 @query("diff_snapshots", with_sql(
     ORDERS1, f"SELECT diff, CAST(id AS INTEGER) AS id, centre, {WIDE_OUT} FROM wide"))
 def diff_snapshots(spark, sf):
     pre, gold = pre_gold(spark, sf)
-    return snapdiff.diff_snapshots(pre, gold, KEY).drop("left_o_orderdate", "right_o_orderdate")
+    diff = snapdiff.diff_snapshots(pre, gold, KEY).drop("left_o_orderdate", "right_o_orderdate")
+    return diff.withColumns({c: F.col(c).cast("string") for c in ("left_o_custkey", "right_o_custkey")})
 
 
 @query("unpivot_diff", with_sql(ORDERS1, " UNION ALL ".join(
@@ -536,10 +539,12 @@ STUDY_CTES = _study_ctes()
 
 
 @query("table_status", with_sql(STUDY_CTES, """
-    SELECT 'demo' AS trial, snapshot, table_name, success, error, key_cols, n_rows, n_cols, n_diffs FROM status"""))
+    SELECT 'demo' AS trial, snapshot, table_name, success, error, key_cols, coalesce(n_rows, -1) AS n_rows,
+      coalesce(n_cols, -1) AS n_cols, coalesce(n_diffs, -1) AS n_diffs FROM status"""))
 def table_status(spark, sf):
     status = study(spark, sf)[1]
-    return status.withColumn("key_cols", F.array_join("key_cols", "|")).drop("error_message")
+    shown = status.withColumn("key_cols", F.array_join("key_cols", "|")).drop("error_message")
+    return shown.na.fill(-1, ["n_rows", "n_cols", "n_diffs"])
 
 
 @query("study_diff", with_sql(STUDY_CTES, """
@@ -673,10 +678,12 @@ def study_summary(spark, sf):
 
 
 @query("table_summary", with_sql(STUDY_CTES, """
-    SELECT snapshot, table_name, success, error, key_cols, num_cells, num_diffs, round(diff_frac, 9) AS diff_frac FROM summary"""))
+    SELECT snapshot, table_name, success, error, key_cols, coalesce(num_cells, -1) AS num_cells,
+      coalesce(num_diffs, -1) AS num_diffs, round(diff_frac, 9) AS diff_frac FROM summary"""))
 def table_summary(spark, sf):
     return study_summary(spark, sf).withColumns(
-        {"key_cols": F.array_join("key_cols", "|"), "diff_frac": F.round("diff_frac", 9)})
+        {"key_cols": F.array_join("key_cols", "|"), "diff_frac": F.round("diff_frac", 9)}
+    ).na.fill(-1, ["num_cells", "num_diffs"])
 
 
 @query("key_union", with_sql(STUDY_CTES, """

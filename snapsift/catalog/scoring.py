@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions.runtime import store_records
 from ..operators import ensemble, guards, labels, metrics, preprocess, snapdiff
 from ..operators.detectors import ecod, hbos, iforest, loda, neighbors, ocsvm, pca, pool
 from .registry import query, shared, with_sql
@@ -17,7 +18,8 @@ def raw_plates(spark, sf):
 
 
 def plates(spark, sf):
-    return preprocess.preprocess_plates(raw_plates(spark, sf))
+    """Stored records of the plates, as detectors read them."""
+    return shared(spark, sf, "plates", lambda: store_records(preprocess.preprocess_plates(raw_plates(spark, sf))))
 
 
 def scored(df, places=6):
@@ -50,7 +52,8 @@ def impute_mode(spark, sf):
 
 @query("preprocess_plate", with_sql(CELLS, "SELECT dataset, rec_id, CAST(pos AS INTEGER) AS pos, value FROM cell"))
 def preprocess_plate(spark, sf):
-    return plates(spark, sf).select("dataset", "rec_id", F.posexplode("features").alias("pos", "value"))
+    records = preprocess.preprocess_plates(raw_plates(spark, sf))
+    return records.select("dataset", "rec_id", F.posexplode("features").alias("pos", "value"))
 
 
 # --- detectors --------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import settle
+from .runtime import settle, spread
 from .skew import skew_lookup
 
 #: All models together may be broadcast up to this size.
@@ -85,9 +85,10 @@ def map_with_models(
             return pd.DataFrame()
         return fn(part, stack(part["features"]), _as_model(model.iloc[0].to_dict()))
 
+    keys, groups = ["dataset", "chunk"], (total or 0) // chunk_rows
     return (
-        chunked.groupBy("dataset", "chunk")
-        .cogroup(copies.groupBy("dataset", "chunk"))
+        spread(chunked, keys, groups).groupBy(*keys)
+        .cogroup(spread(copies, keys, groups).groupBy(*keys))
         .applyInPandas(map_chunk, schema)
     )
 

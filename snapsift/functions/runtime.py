@@ -1,4 +1,4 @@
-"""Session-level helpers: lineage cuts, scratch folders, size-checked broadcasts."""
+"""Session-level helpers: lineage cuts, scratch folders, partitioning."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest row count that may be sent to every executor as a join side.
-BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +40,31 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the known row count is within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def store(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a table in the shared folder.
+
+    For wide results of which later steps read a few columns: the table is columnar.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: list[str], groups: int = 0) -> DataFrame:
+    """Hash-partition compute-heavy work explicitly.
+
+    Adaptive execution sizes partitions by bytes; rows that are few in bytes but costly
+    in numpy would end up in one task. ``groups`` is the number of key groups, when known:
+    about eight of them share a task.
+    """
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(configured, parallel, min(groups // 8, 50_000)), *keys)
+
+
+def store_records(records: DataFrame) -> DataFrame:
+    """Settle records spread by (dataset, rec_id), as multi-pass detectors read them.
+
+    Joins of scores with records on (dataset, rec_id) then need not move the records.
+    """
+    return settle(spread(records, ["dataset", "rec_id"]))

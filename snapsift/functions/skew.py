@@ -12,6 +12,22 @@ HEAVY_ROWS = 1_000_000
 #: No more than this many keys can be heavy, whatever the total.
 HEAVY_KEYS = 10_000
 SALTS = 4096
+#: A measured side up to this size is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a settled table: eight bytes per value, text and array lengths counted."""
+    cells = F.lit(0)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind == "array":
+            cells = cells + F.coalesce(F.size(field.name), F.lit(0)) * 8
+        elif kind == "string":
+            cells = cells + F.coalesce(F.length(field.name), F.lit(0)) + 16
+        else:
+            cells = cells + 8
+    return df.agg(F.sum(cells.cast("long"))).first()[0] or 0
 
 
 def skew_lookup(
@@ -22,6 +38,7 @@ def skew_lookup(
     total: int,
     how: str = "left",
     heavy_rows: int = HEAVY_ROWS,
+    measure: bool = True,
 ) -> DataFrame:
     """Join ``right`` (unique on ``keys``) to ``left``.
 
@@ -30,7 +47,12 @@ def skew_lookup(
     ``max(heavy_rows, total / HEAVY_KEYS)`` left rows, so there are at most
     ``HEAVY_KEYS`` heavy keys: these are broadcast, and their left rows are salted away
     from the shuffle join that serves all other keys.
+
+    With ``measure`` (for a settled ``right``) its size is taken first, and a side within
+    ``BROADCAST_BYTES`` is broadcast whole, so ``left`` is not shuffled at all.
     """
+    if measure and measured_bytes(right) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right.drop(weight)), keys, how)
     values = [c for c in right.columns if c not in keys and c != weight]
     floor = max(heavy_rows, total // HEAVY_KEYS)
     if total <= floor:

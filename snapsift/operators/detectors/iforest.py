@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...functions.models import dataset_sizes, score_settings
-from ...functions.runtime import settle
+from ...functions.runtime import settle, spread
 from ...functions.skew import skew_lookup
 
 SAMPLE_ROWS = 256
@@ -100,7 +100,8 @@ def fit_forest(
             rows, columns=["dataset", "tree", "share", "rows", "feature", "threshold", "left", "length"]
         )
 
-    trees = samples.groupBy("dataset", "tree").applyInPandas(grow, schema)
+    groups = sizes.count() * n_trees
+    trees = spread(samples, ["dataset", "tree"], groups).groupBy("dataset", "tree").applyInPandas(grow, schema)
     # n_trees * shares trees of at most 511 nodes each
     items = F.array_sort(
         F.collect_list(F.struct("share", "tree", "rows", "feature", "threshold", "left", "length"))

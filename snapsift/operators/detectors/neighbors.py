@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...functions.models import stack
-from ...functions.runtime import settle
-from ...functions.skew import skew_lookup
+from ...functions.runtime import settle, spread, store
+from ...functions.skew import BROADCAST_BYTES, skew_lookup
 
 BLOCK_ROWS = 1024
 FANOUT = 64
@@ -35,7 +35,15 @@ _SLICE = 256
 #: Room for rounding when a box is ruled out.
 SLACK = 1e-9
 
-NN = "array<struct<distance:double,id:long,point:long>>"
+_LISTS = "distance array<double>, id array<long>, near array<long>"
+
+
+def _nn():
+    """Parallel arrays of distance, record id and point as one array of structs."""
+    return F.transform(
+        F.arrays_zip("distance", "id", "near"),
+        lambda x: F.struct(x["distance"].alias("distance"), x["id"].alias("id"), x["near"].alias("point")),
+    ).alias("nn")
 
 
 @dataclass(frozen=True)
@@ -102,7 +110,7 @@ def split_blocks(points: DataFrame, block_rows: int) -> tuple[DataFrame, list[Da
     ``block`` is text, one step per level, so a prefix names the parent. The loop runs on
     the driver, once per level, reading one number each time.
     """
-    current = settle(points.withColumn("block", F.lit("")))
+    current = settle(spread(points, ["dataset", "point"]).withColumn("block", F.lit("")))
     for _ in range(MAX_LEVELS):
         sizes = current.groupBy("dataset", "block").agg(F.count(F.lit(1)).alias("n"))
         sizes = settle(sizes)
@@ -181,11 +189,14 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 def nearest_lists(
     q: np.ndarray, x: np.ndarray, ids: list, points: np.ndarray, keep: int, metric: str,
     bound: np.ndarray | None = None,
-) -> list[list[tuple]]:
-    """For each query the ``keep`` nearest records of a block as (distance, id, point)."""
+) -> tuple[list, list, list]:
+    """For each query the ``keep`` nearest records of a block: distances, ids, points.
+
+    ``x`` is sorted by point, and a point is its least id, so a stable sort by distance
+    breaks ties by id.
+    """
     single = all(len(i) == 1 for i in ids)
-    first = np.array([i[0] for i in ids], dtype=np.int64)
-    out: list[list[tuple]] = []
+    far, near_ids, near_points = [], [], []
     for start in range(0, len(q), _SLICE):
         d = distances(q[start : start + _SLICE], x, metric)
         m = min(keep, d.shape[1]) - 1
@@ -193,35 +204,39 @@ def nearest_lists(
         if bound is not None:
             limit = np.minimum(limit, bound[start : start + _SLICE])
         rows, cols = np.nonzero(d <= limit[:, None])
-        order = np.lexsort((first[cols], d[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        far = d[rows, cols]
+        dist = d[rows, cols]
+        order = np.lexsort((cols, dist, rows))
+        rows, cols, dist = rows[order], cols[order], dist[order]
         edges = np.searchsorted(rows, np.arange(len(d) + 1))
         for i in range(len(d)):
             span = slice(edges[i], min(edges[i + 1], edges[i] + keep))
-            near, dist = cols[span], far[span]
+            near, gap = cols[span], dist[span]
             if single:
-                out.append(list(zip(dist.tolist(), first[near].tolist(), points[near].tolist())))
-            else:
-                found = [(s, int(r), int(points[c])) for s, c in zip(dist.tolist(), near) for r in ids[c]]
-                out.append(sorted(found)[:keep])
-    return out
+                far.append(gap), near_ids.append(points[near]), near_points.append(points[near])
+                continue
+            # points with copies count once per kept id
+            found = sorted((s, int(r), int(points[c])) for s, c in zip(gap, near) for r in ids[c])[:keep]
+            far.append([f[0] for f in found])
+            near_ids.append([f[1] for f in found])
+            near_points.append([f[2] for f in found])
+    return far, near_ids, near_points
 
 
 def _own_blocks(blocks: DataFrame, keep: int, metric: str) -> DataFrame:
     """Neighbours inside the own block, and the k-th distance as search bound."""
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point")
         x = stack(pdf["features"])
-        found = nearest_lists(x, x, [list(i) for i in pdf["ids"]], pdf["point"].to_numpy(), keep, metric)
-        full = np.array([f[-1][0] if len(f) == keep else math.inf for f in found])
+        far, ids, near = nearest_lists(x, x, list(pdf["ids"]), pdf["point"].to_numpy(), keep, metric)
+        full = [f[-1] if len(f) == keep else math.inf for f in far]
         return pd.DataFrame({
-            "dataset": pdf["dataset"], "block": pdf["block"], "point": pdf["point"],
-            "features": pdf["features"], "bound": full,
-            "nn": [[{"distance": a, "id": b, "point": c} for a, b, c in f] for f in found],
+            "dataset": pdf["dataset"].to_numpy(), "block": pdf["block"].to_numpy(), "point": pdf["point"].to_numpy(),
+            "features": pdf["features"].to_numpy(), "bound": full, "distance": far, "id": ids, "near": near,
         })
 
-    schema = f"dataset string, block string, point long, features array<double>, bound double, nn {NN}"
-    return blocks.groupBy("dataset", "block").applyInPandas(search, schema)
+    schema = f"dataset string, block string, point long, features array<double>, bound double, {_LISTS}"
+    groups = blocks.groupBy("dataset", "block").agg(F.lit(1)).count()
+    return spread(blocks, ["dataset", "block"], groups).groupBy("dataset", "block").applyInPandas(search, schema)
 
 
 # --- walking the boxes -----------------------------------------------------------------------
@@ -251,6 +266,18 @@ def _box_levels(blocks: DataFrame) -> list[DataFrame]:
     return levels
 
 
+def _small_side(level: DataFrame) -> DataFrame:
+    """The boxes of one level, settled; broadcast when their measured size allows it.
+
+    The first levels have few nodes that many points share, so they are small; deeper
+    ones may be large, but each of their nodes has few points.
+    """
+    level = settle(level)
+    sides = F.size("children") * F.size(F.get("children", F.lit(0))["box"])
+    measured = level.agg(F.sum(sides.cast("long"))).first()[0] or 0
+    return F.broadcast(level) if measured * 24 <= BROADCAST_BYTES else level
+
+
 def _route(own: DataFrame, blocks: DataFrame, metric: str) -> DataFrame:
     """``(dataset, target, point, features, bound)``: blocks each point has to visit.
 
@@ -270,7 +297,7 @@ def _route(own: DataFrame, blocks: DataFrame, metric: str) -> DataFrame:
     near = lambda c: gap(c) <= F.col("bound") * (1 + SLACK) + SLACK * SLACK
     for level in _box_levels(blocks):
         kept = F.transform(F.filter("children", near), lambda c: c["child"])
-        walk = walk.join(level, ["dataset", "node"]).select(
+        walk = walk.join(_small_side(level), ["dataset", "node"]).select(
             "dataset", "block", "point", "features", "bound", F.explode(kept).alias("node")
         )
     return walk.filter(F.col("node") != F.col("block")).select(
@@ -280,9 +307,10 @@ def _route(own: DataFrame, blocks: DataFrame, metric: str) -> DataFrame:
 
 def _visit(routed: DataFrame, blocks: DataFrame, keep: int, metric: str, block_rows: int) -> DataFrame:
     """Search the routed points in their target blocks, in bounded chunks."""
-    loads = settle(routed.groupBy("dataset", "target").agg(F.count(F.lit(1)).alias("n")))
-    total = loads.agg(F.sum("n")).first()[0] or 0
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(4 * block_rows)))
+    loads = settle(routed.groupBy("dataset", "target").agg(F.count(F.lit(1)).alias("n")))
+    total, groups = loads.agg(F.sum("n"), F.sum(chunks)).first()
+    total, groups = total or 0, groups or 0
     sized = loads.select("dataset", "target", chunks.alias("chunks"), F.col("n").alias("_w"))
     queries = skew_lookup(routed, sized, ["dataset", "target"], "_w", total, "inner").withColumn(
         "chunk", F.pmod(F.xxhash64("point"), F.col("chunks"))
@@ -297,42 +325,46 @@ def _visit(routed: DataFrame, blocks: DataFrame, keep: int, metric: str, block_r
         if q.empty or x.empty:
             return pd.DataFrame()
         x = x.sort_values("point")
-        found = nearest_lists(
-            stack(q["features"]), stack(x["features"]), [list(i) for i in x["ids"]],
+        far, ids, near = nearest_lists(
+            stack(q["features"]), stack(x["features"]), list(x["ids"]),
             x["point"].to_numpy(), keep, metric, q["bound"].to_numpy(),
         )
         return pd.DataFrame({
             "dataset": q["dataset"].to_numpy(), "point": q["point"].to_numpy(),
-            "nn": [[{"distance": a, "id": b, "point": c} for a, b, c in f] for f in found],
+            "distance": far, "id": ids, "near": near,
         })
 
     cols = ["dataset", "target", "chunk"]
     return (
-        queries.select(*cols, "point", "features", "bound").groupBy(*cols)
-        .cogroup(held.select(*cols, "point", "features", "ids").groupBy(*cols))
-        .applyInPandas(search, f"dataset string, point long, nn {NN}")
+        spread(queries.select(*cols, "point", "features", "bound"), cols, groups).groupBy(*cols)
+        .cogroup(spread(held.select(*cols, "point", "features", "ids"), cols, groups).groupBy(*cols))
+        .applyInPandas(search, f"dataset string, point long, {_LISTS}")
     )
 
 
 def knn_points(records: DataFrame, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> Graph:
     """Exact k-nearest-neighbour graph over distinct points."""
     keep = k + 1
-    points = settle(collapse_copies(records, keep))
+    points = store(collapse_copies(records, keep))
     blocks = split_blocks(points, max(block_rows, 2 * keep))
-    own = settle(_own_blocks(blocks, keep, metric))
+    own = store(_own_blocks(blocks, keep, metric))
+    lists = own.select("dataset", "point", _nn())
     several = blocks.groupBy("dataset").agg(F.min("block").alias("a"), F.max("block").alias("b"))
     if several.filter("a <> b").isEmpty():
-        nn = own.select("dataset", "point", "nn")
+        nn = lists
     else:
         routed = settle(_route(own, blocks, metric))
-        other = _visit(routed, blocks, keep, metric, block_rows)
-        lists = own.select("dataset", "point", "nn").unionByName(other)
-        flat = lists.select("dataset", "point", F.inline("nn").alias("distance", "id", "neighbor"))
+        travelled = settle(routed.select("dataset", "point").distinct())
+        other = _visit(routed, blocks, keep, metric, block_rows).select("dataset", "point", _nn())
+        # only points that visited another block have lists to merge
+        both = lists.join(travelled, ["dataset", "point"], "left_semi").unionByName(other)
+        flat = both.select("dataset", "point", F.inline("nn").alias("distance", "id", "neighbor"))
         order = W.partitionBy("dataset", "point").orderBy("distance", "id")
         best = flat.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep)
-        nn = settle(best.groupBy("dataset", "point").agg(
+        merged = best.groupBy("dataset", "point").agg(
             F.array_sort(F.collect_list(F.struct("distance", "id", F.col("neighbor").alias("point")))).alias("nn")
-        ))
+        )
+        nn = store(lists.join(travelled, ["dataset", "point"], "left_anti").unionByName(merged))
     return Graph(k, points, nn, records)
 
 
@@ -358,7 +390,7 @@ def to_records(scores: DataFrame, graph: Graph, columns: list[str]) -> DataFrame
     rows = graph.members.select(
         "dataset", "rec_id", F.transform("features", lambda v: v + F.lit(0.0)).alias("features")
     )
-    joined = skew_lookup(rows, found, ["dataset", "features"], "copies", total, "inner")
+    joined = skew_lookup(rows, found, ["dataset", "features"], "copies", total, "inner", measure=False)
     return joined.select("dataset", "rec_id", "point", *columns)
 
 
@@ -400,7 +432,7 @@ def lof_setting(k: int, metric: str) -> str:
 
 def lof_scores(graph: Graph, ks: list[int]) -> DataFrame:
     """Point LOF as one array, one entry per k: two joins on the neighbour serve all."""
-    near = settle(point_neighbors(graph))
+    near = store(point_neighbors(graph))
     ends = near.select(
         "dataset", "point",
         F.array(*[F.element_at(F.slice(F.transform("nn", lambda x: x["distance"]), 1, k), -1) for k in ks]).alias("kd"),

@@ -279,18 +279,18 @@ def long_diff(study: str, snapshot: str, table: str, result: TableDiff) -> DataF
     )
 
 
-def success_status(study: str, snapshot: str, table: str, result: TableDiff) -> DataFrame:
-    """Status row of a compared table; the two counts are taken when it is read."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    counted = (
-        result.records.select(one.alias("r"), none.alias("d"))
-        .unionAll(result.cells.select(none.alias("r"), one.alias("d")))
-        .agg(F.sum("r").alias("n_rows"), F.sum("d").alias("n_diffs"))
-    )
-    return counted.select(
-        F.lit(study).alias("trial"), F.lit(snapshot).alias("snapshot"), F.lit(table).alias("table_name"),
-        F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"),
-        F.lit(None).cast("string").alias("error_message"),
-        F.array(*[F.lit(k) for k in result.key]).alias("key_cols"), "n_rows",
-        F.lit(len(result.records.columns) - len(result.key)).cast("long").alias("n_cols"), "n_diffs",
+def success_row(study: str, snapshot: str, table: str, result: TableDiff) -> tuple:
+    """Status row of a compared table; its counts come from the stored results."""
+    width = len(result.records.columns) - len(result.key)
+    return (study, snapshot, table, True, None, None, list(result.key), None, width, None)
+
+
+def table_status(outcomes: DataFrame, cells: DataFrame, records: DataFrame) -> DataFrame:
+    """Fill the record and cell counts of the successful tables into their status rows."""
+    by = ["snapshot", "table_name"]
+    rows = records.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    diffs = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_diffs"))
+    return outcomes.join(rows, by, "left").join(diffs, by, "left").select(
+        "trial", *by, "success", "error", "error_message", "key_cols", F.col("_rows").alias("n_rows"), "n_cols",
+        F.when(F.col("success"), F.coalesce("_diffs", F.lit(0).cast("long"))).alias("n_diffs"),
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import StudyConfig, TableFailure
+from ..functions.runtime import settle
 from ..operators import guards, labels, snapdiff
 from ..sources import tables as src
 
@@ -25,27 +27,31 @@ def study_diff(
     study: StudyConfig,
     snapshots: dict[str, dict[str, DataFrame]],
     gold: dict[str, DataFrame],
+    threads: int = 8,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compare every table of every preliminary snapshot.
 
-    Returns lazy ``(cells, status, records)``: the long salient diff, one status row per
-    (snapshot, table), and the records as name-value cells per row for labelling. Only
-    the counts of the key search run here.
+    Returns ``(cells, status, records)``: the long salient diff of all tables, settled in
+    one job; one status row per (snapshot, table); and the lazy records. Only the counts
+    of the key searches reach the driver; the searches of different tables are submitted
+    side by side, so that small tables fill the gaps of large ones.
     """
-    cells, status, records, failed = [], [], [], []
-    for snapshot, pre_tables in snapshots.items():
-        for table, pre in pre_tables.items():
-            result, failure = snapdiff.process_table(study, snapshot, table, pre, gold.get(table))
-            if failure:
-                failed.append(failure)
-                continue
-            cells.append(snapdiff.long_diff(study.name, snapshot, table, result))
-            status.append(snapdiff.success_status(study.name, snapshot, table, result))
-            records.append(study_records(study.name, snapshot, table, result))
-    status.append(spark.createDataFrame(failed, snapdiff.STATUS_SCHEMA))
+    work = [(s, t, pre) for s, pre_tables in snapshots.items() for t, pre in pre_tables.items()]
+    with ThreadPoolExecutor(max_workers=threads) as submit:
+        done = list(submit.map(lambda w: snapdiff.process_table(study, w[0], w[1], w[2], gold.get(w[1])), work))
+    cells, records, outcomes = [], [], []
+    for (snapshot, table, _), (result, failure) in zip(work, done):
+        if failure:
+            outcomes.append(failure)
+            continue
+        outcomes.append(snapdiff.success_row(study.name, snapshot, table, result))
+        cells.append(snapdiff.long_diff(study.name, snapshot, table, result))
+        records.append(study_records(study.name, snapshot, table, result))
     if not cells:
         raise TableFailure("NoMeaningfulData")
-    return union_all(cells), union_all(status), union_all(records)
+    cells, records = settle(union_all(cells)), union_all(records)
+    outcomes = spark.createDataFrame(outcomes, snapdiff.STATUS_SCHEMA)
+    return cells, settle(snapdiff.table_status(outcomes, cells, records)), records
 
 
 def study_records(trial: str, snapshot: str, table: str, result: snapdiff.TableDiff) -> DataFrame:

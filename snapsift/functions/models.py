@@ -79,6 +79,8 @@ def map_with_models(
     chunked = with_chunk(records, models.select("dataset", "n"), total, chunk_rows)
     last = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(chunk_rows))) - 1
     copies = models.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # both sides read the models, so one gets fresh column identities
+    copies = copies.toDF(*copies.columns)
 
     def map_chunk(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if part.empty or model.empty:

@@ -117,8 +117,14 @@ def derive_labels(
     )
 
 
-def run_study(spark: SparkSession, study: StudyConfig, output: str, fmt: str = "parquet") -> None:
-    """Read a study from storage, compare it, label it and store both results."""
+def run_study(
+    spark: SparkSession, study: StudyConfig, output: str, fmt: str = "parquet", infer_long: bool = False, **options
+) -> None:
+    """Read a study from storage, compare it, label it and store both results.
+
+    Whole numbers are not turned into long by default: the formats read here carry types,
+    and a column that is whole in one snapshot only would count as a schema change.
+    """
     gold_root = study.snapshot_root(study.gold)
     snapshots: dict[str, dict[str, DataFrame | None]] = {}
     gold: dict[str, DataFrame] = {}
@@ -129,9 +135,9 @@ def run_study(spark: SparkSession, study: StudyConfig, output: str, fmt: str = "
         # one small row per table file
         for row in pairs.collect():
             name = row["table_name"]
-            found[name] = _read_or_none(spark, f"{root}/{row['preliminary_file']}", fmt)
+            found[name] = _read_or_none(spark, f"{root}/{row['preliminary_file']}", fmt, infer_long, options)
             if row["gold_file"] and name not in gold:
-                gold[name] = _read_or_none(spark, f"{gold_root}/{row['gold_file']}", fmt)
+                gold[name] = _read_or_none(spark, f"{gold_root}/{row['gold_file']}", fmt, infer_long, options)
         snapshots[snapshot] = found
     cells, status, records = study_diff(spark, study, snapshots, gold)
     src.write_diff(cells, f"{output}/diffs")
@@ -145,8 +151,8 @@ def run_study(spark: SparkSession, study: StudyConfig, output: str, fmt: str = "
     src.write_labelled(labelled, f"{output}/derived")
 
 
-def _read_or_none(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+def _read_or_none(spark: SparkSession, path: str, fmt: str, infer_long: bool, options: dict) -> DataFrame | None:
     try:
-        return src.read_snapshot_table(spark, path, fmt)
+        return src.read_snapshot_table(spark, path, fmt, infer_long, **options)
     except TableFailure:
         return None

@@ -416,7 +416,7 @@ def order_records(spark, sf):
     SELECT 'orders' AS dataset, 'HBOS' AS algorithm, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0)
         / (sum(y) * (count(*) - sum(y))), 6) AS auroc FROM ranked""")
 def flagship(spark, sf):
-    records = order_records(spark, sf)
+    records = store_records(order_records(spark, sf))
     scores = hbos.score_hbos(records).withColumn("score", F.round("score", 9))
     joined = scores.withColumn("algorithm", F.lit("HBOS")).join(
         records.select("dataset", "rec_id", "y"), ["dataset", "rec_id"])

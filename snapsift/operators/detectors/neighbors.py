@@ -382,16 +382,24 @@ def point_neighbors(graph: Graph) -> DataFrame:
 
 
 def to_records(scores: DataFrame, graph: Graph, columns: list[str]) -> DataFrame:
-    """Carry point-level columns to all records of the point."""
-    found = scores.join(
-        graph.points.select("dataset", "point", "features", "copies"), ["dataset", "point"]
-    ).select("dataset", "features", "copies", "point", *columns)
-    total = graph.points.agg(F.sum("copies")).first()[0] or 0
+    """Carry point-level columns to all records of the point.
+
+    A point without copies is its only record, so only records of copy groups are looked
+    up by their features.
+    """
+    alone = scores.select("dataset", F.col("point").alias("rec_id"), "point", *columns)
+    groups = graph.points.filter(F.col("copies") > 1).select("dataset", "point", "features", "copies")
+    total = groups.agg(F.sum("copies")).first()[0]
+    if not total:
+        return alone
+    found = scores.join(groups, ["dataset", "point"]).select("dataset", "features", "copies", "point", *columns)
     rows = graph.members.select(
         "dataset", "rec_id", F.transform("features", lambda v: v + F.lit(0.0)).alias("features")
     )
-    joined = skew_lookup(rows, found, ["dataset", "features"], "copies", total, "inner", measure=False)
-    return joined.select("dataset", "rec_id", "point", *columns)
+    copied = skew_lookup(rows, found, ["dataset", "features"], "copies", total, "inner", measure=False)
+    return alone.join(groups, ["dataset", "point"], "left_anti").select(
+        "dataset", "rec_id", "point", *columns
+    ).unionByName(copied.select("dataset", "rec_id", "point", *columns))
 
 
 def knn_graph(records: DataFrame, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -249,7 +249,11 @@ def fit_selector(
     scaled = scale_metafeatures(cells, scaling)
     names = F.array(*[F.lit(a) for a in algorithms])
     known = comparisons.join(cells.select("dataset").distinct(), "dataset", "left_semi")
-    ids = settle(known.select("dataset").distinct().withColumn("number", F.dense_rank().over(W.orderBy("dataset"))))
+    one = known.select("dataset", F.lit(0).alias("all"), F.lit(1).alias("one")).distinct()
+    ids = settle(
+        running_totals(one, ["all"], "dataset", {"number": "one"})
+        .select("dataset", F.col("number").cast("int").alias("number"))
+    )
     ratings = known.join(ids, "dataset").select(
         "number", (F.array_position(names, F.col("algorithm")) - 1).cast("int").alias("item"),
         F.coalesce(F.nanvl("auroc", F.lit(0.0)), F.lit(0.0)).cast("float").alias("rating"),

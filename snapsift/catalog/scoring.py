@@ -137,9 +137,25 @@ def score_abod(spark, sf):
     return scored(neighbors.score_abod(fx.vectors(spark, sf), 5))
 
 
-@query("score_cof")
+def cof_sql(k):
+    """Chains unrolled into one step per neighbour: nearest to the set, then of lower rank."""
+    steps = ", set0 AS (SELECT DISTINCT p, p AS member FROM nn)"
+    for i in range(1, k + 1):
+        steps += f""",
+    cand{i} AS (SELECT n.p, n.o, n.r, min(d.d) AS e FROM nn n JOIN set{i - 1} s ON n.p = s.p
+      JOIN pair d ON d.p = s.member AND d.o = n.o
+      WHERE NOT EXISTS (SELECT 1 FROM set{i - 1} x WHERE x.p = n.p AND x.member = n.o) GROUP BY n.p, n.o, n.r),
+    pick{i} AS (SELECT p, o, e FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY e, r) AS t FROM cand{i}) WHERE t = 1),
+    set{i} AS (SELECT * FROM set{i - 1} UNION ALL SELECT p, o FROM pick{i})"""
+    terms = " UNION ALL ".join(f"SELECT p, {2 * (k + 1 - i)} / CAST({k * (k + 1)} AS DOUBLE) * e AS t FROM pick{i}" for i in range(1, k + 1))
+    return steps + f""", ac AS (SELECT p, sum(t) AS ac FROM ({terms}) GROUP BY p)
+    SELECT 'vectors' AS dataset, nn.p AS rec_id, round(any_value(a.ac) / avg(b.ac), 6) AS score
+    FROM nn JOIN ac a ON nn.p = a.p JOIN ac b ON nn.o = b.p GROUP BY nn.p"""
+
+
+@query("score_cof", with_sql(VECTORS, "").rstrip() + knn_sql(5) + cof_sql(5))
 def score_cof(spark, sf):
-    return scored(neighbors.score_cof(fx.vectors(spark, sf), 10))
+    return scored(neighbors.score_cof(fx.vectors(spark, sf), 5))
 
 
 @query("score_iforest")
@@ -147,7 +163,22 @@ def score_iforest(spark, sf):
     return scored(iforest.score_iforest(plates(spark, sf)))
 
 
-@query("score_pca")
+def pca_sql(d):
+    """The score over all components is the Mahalanobis distance of the z-scores, here by
+    orthogonalising one feature after the other."""
+    z = ", ".join(f"max(z) FILTER (pos = {i}) AS z{i}" for i in range(d))
+    sql = f""", z AS (SELECT dataset, rec_id, pos, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z
+      FROM cell WINDOW w AS (PARTITION BY dataset, pos)),
+    o0 AS (SELECT *, z0 AS r0 FROM (SELECT dataset, rec_id, {z} FROM z GROUP BY ALL))"""
+    for i in range(1, d):
+        proj = " - ".join(f"avg(z{i} * r{j}) OVER w / avg(r{j} * r{j}) OVER w * r{j}" for j in range(i))
+        sql += f""",
+    o{i} AS (SELECT *, z{i} - {proj} AS r{i} FROM o{i - 1} WINDOW w AS (PARTITION BY dataset))"""
+    total = " + ".join(f"r{i} * r{i} / avg(r{i} * r{i}) OVER w" for i in range(d))
+    return sql + f""" SELECT dataset, rec_id, round({total}, 6) AS score FROM o{d - 1} WINDOW w AS (PARTITION BY dataset)"""
+
+
+@query("score_pca", with_sql(CELLS, "").rstrip() + pca_sql(5))
 def score_pca(spark, sf):
     return scored(pca.score_pca(plates(spark, sf)))
 
@@ -374,6 +405,39 @@ def anomaly_profile(spark, sf):
         "anomaly_proportion", F.round("anomaly_proportion", 9))
 
 
+EVALUATE_SQL = with_sql(CELLS, "").rstrip() + "".join(
+    hbos_sql(b, 0.1).replace("lim ", f"lim{b} ").replace("lim.", f"lim{b}.").replace("binned", f"binned{b}")
+    .replace("dens ", f"dens{b} ").replace("hbos AS", f"hbos{b} AS") for b in (10, 20)) + """,
+    s AS (SELECT dataset, rec_id, 'n_bins=10' AS params, round(score, 9) AS score FROM hbos10
+      UNION ALL SELECT dataset, rec_id, 'n_bins=20', round(score, 9) FROM hbos20),
+    scored AS (SELECT s.*, y FROM s JOIN plate USING (dataset, rec_id)),
+    ranked AS (SELECT *, rank() OVER (PARTITION BY dataset, params ORDER BY score)
+        + (count(*) OVER (PARTITION BY dataset, params, score) - 1) / 2.0 AS r FROM scored),
+    auc AS (SELECT dataset, params, count(*) AS n, CAST(sum(y) AS DOUBLE) AS n1, count(*) - CAST(sum(y) AS DOUBLE) AS n0,
+        (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * (count(*) - sum(y))) AS a
+        FROM ranked GROUP BY ALL),
+    se AS (SELECT *, sqrt((a * (1 - a) + (n1 - 1) * (a / (2 - a) - a * a) + (n0 - 1) * (2 * a * a / (1 + a) - a * a)) / (n1 * n0)) AS se
+        FROM auc),
+    g AS (SELECT dataset, params, score, count(*) AS c, sum(y) AS p FROM scored GROUP BY ALL),
+    run AS (SELECT *, sum(c) OVER w AS cc, sum(p) OVER w AS cp, sum(p) OVER (PARTITION BY dataset, params) AS tp FROM g
+      WINDOW w AS (PARTITION BY dataset, params ORDER BY score DESC)),
+    ap AS (SELECT dataset, params, sum(p / CAST(tp AS DOUBLE) * cp / cc) AS aupr FROM run GROUP BY ALL)
+    SELECT dataset, n AS num_samples, CAST(5 AS BIGINT) AS num_columns, CAST(n1 AS BIGINT) AS num_anomalies,
+      round(n1 / n, 6) AS anomaly_proportion, 'HBOS' AS algorithm, params, round(a, 6) AS auroc,
+      round(greatest(a - 1.9599639845400536 * se, 0), 6) AS auroc_lower, round(least(a + 1.9599639845400536 * se, 1), 6) AS auroc_upper,
+      round(greatest(a - 2.241402727604945 * se, 0), 6) AS auroc_lower_corrected,
+      round(least(a + 2.241402727604945 * se, 1), 6) AS auroc_upper_corrected, round(aupr, 6) AS aupr
+    FROM se JOIN ap USING (dataset, params)"""
+
+
+@query("evaluate_scores", EVALUATE_SQL)
+def evaluate_scores(spark, sf):
+    records = plates(spark, sf)
+    scores = scored(pool.score_all(records, {"HBOS": {"n_bins": [10, 20]}}), 9)
+    rows = metrics.evaluate_scores(scores, records, 2).drop("error")
+    return rows.withColumns({c: F.round(c, 6) for c, t in rows.dtypes if t == "double"})
+
+
 @query("evaluate_detectors")
 def evaluate_detectors(spark, sf):
     from ..plans import evaluation

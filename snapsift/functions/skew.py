@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +28,15 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(cells.cast("long"))).first()[0] or 0
 
 
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its measured size is within ``limit``.
+
+    For settled side tables with one row per dataset, table or column: joined on such a
+    key without it, the large side would be shuffled into a few hot partitions.
+    """
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
 def skew_lookup(
     left: DataFrame,
     right: DataFrame,
@@ -82,7 +89,3 @@ def skew_lookup(
 def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
 
-
-def all_of(conditions):
-    """Conjunction of a non-empty list of conditions."""
-    return reduce(lambda a, b: a & b, conditions)

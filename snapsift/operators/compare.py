@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.running import WINDOW_ROWS, running_totals
 from ..functions.runtime import settle
+from ..functions.skew import small_side
 
 DATASET = ["trial", "snapshot", "plate"]
 LAST_SNAPSHOT = 4
@@ -52,7 +53,7 @@ def snapshot_number(df: DataFrame, last: int = LAST_SNAPSHOT) -> DataFrame:
         "snapshot_number",
         (F.col("_r") + F.greatest(F.lit(0), F.lit(last) - F.max("_r").over(whole))).cast("long"),
     )
-    return df.join(numbered.drop("_r"), ["trial", "snapshot"])
+    return df.join(small_side(settle(numbered.drop("_r"))), ["trial", "snapshot"])
 
 
 def normalise_algorithm(df: DataFrame) -> DataFrame:
@@ -276,8 +277,8 @@ def exact_quantiles(
     """Linearly interpolated quantiles from running counts of distinct values."""
     counts = values.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("c"))
     running = running_totals(counts, by, column, {"upto": "c"}, None, window_rows)
-    sizes = counts.groupBy(*by).agg(F.sum("c").alias("_n"))
-    joined = running.join(sizes, by)
+    sizes = settle(counts.groupBy(*by).agg(F.sum("c").alias("_n")))
+    joined = running.join(small_side(sizes), by)
     picks = []
     for name, p in points.items():
         place = F.lit(p) * (F.col("_n") - 1)

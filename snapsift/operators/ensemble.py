@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import settle
-from ..functions.skew import skew_lookup
+from ..functions.skew import skew_lookup, small_side
 
 BY = ["dataset", "algorithm"]
 
@@ -67,9 +67,9 @@ def probabilistic_ensemble(scores: DataFrame) -> DataFrame:
 
 def topk_ensemble(scores: DataFrame, chosen: DataFrame) -> DataFrame:
     """Mean rescaled score of the settings in ``chosen`` (dataset, algorithm)."""
-    return probabilistic_ensemble(scores.join(chosen.select(*BY), BY, "left_semi"))
+    return probabilistic_ensemble(scores.join(small_side(chosen.select(*BY)), BY, "left_semi"))
 
 
 def selected_model_scores(scores: DataFrame, best: DataFrame) -> DataFrame:
     """Scores of the one setting chosen for each dataset."""
-    return scores.join(best.select(*BY), BY, "left_semi").select("dataset", "rec_id", "score")
+    return scores.join(small_side(best.select(*BY)), BY, "left_semi").select("dataset", "rec_id", "score")

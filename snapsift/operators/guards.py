@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .. import config
 from ..config import TableFailure
+from ..functions.skew import small_side
 
 
 def prune_columns(
@@ -107,8 +108,8 @@ def drop_unreliable_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def drop_unreliable_cells(cells: DataFrame, unreliable: DataFrame, on: list[str]) -> DataFrame:
-    """Long form: drop the cells of unreliable columns."""
-    return cells.join(unreliable, on, "left_anti")
+    """Long form: drop the cells of unreliable columns (one row per table column)."""
+    return cells.join(small_side(unreliable), on, "left_anti")
 
 
 def numeric_columns(df: DataFrame, without: Iterable[str] = ()) -> list[str]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.running import WINDOW_ROWS, running_totals
 from ..functions.runtime import settle
-from ..functions.skew import skew_lookup
+from ..functions.skew import skew_lookup, small_side
 from .ensemble import is_finite
 
 BY = ["dataset", "algorithm"]
@@ -63,14 +63,16 @@ def clean_scores(scores: DataFrame, by: list[str] = BY, profile: DataFrame | Non
     return skew_lookup(scores, side, by, "_w", total).withColumn("score", repaired).drop("lo", "hi", "mean")
 
 
-def ranking_sums(cleaned: DataFrame, by: list[str], largest: int, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """AUROC and average precision of each group."""
+def ranking_sums(
+    cleaned: DataFrame, profile: DataFrame, by: list[str], largest: int, window_rows: int = WINDOW_ROWS
+) -> DataFrame:
+    """AUROC and average precision of each group; ``profile`` is settled."""
     counts = cleaned.groupBy(*by, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos")
     )
     running = running_totals(counts, by, "score", {"cn": "n", "cp": "pos"}, largest, window_rows)
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
-    joined = running.join(totals, by)
+    totals = profile.select(*by, F.col("n").alias("all_n"), F.col("n_pos").alias("all_pos"))
+    joined = running.join(small_side(totals), by)
     below = (F.col("cn") - F.col("n")) - (F.col("cp") - F.col("pos"))
     wins = F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2)
     hits = F.col("all_pos") - F.col("cp") + F.col("pos")
@@ -129,7 +131,7 @@ def _metrics(scores: DataFrame, by: list[str], window_rows: int = WINDOW_ROWS) -
     profile = settle(score_profile(scores, by))
     largest = profile.agg(F.max("n")).first()[0] or 0
     cleaned = clean_scores(scores, by, profile).filter(F.col("error").isNull())
-    return profile.join(ranking_sums(cleaned, by, largest, window_rows), by, "left")
+    return profile.join(ranking_sums(cleaned, profile, by, largest, window_rows), by, "left")
 
 
 def evaluate_scores(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.models import feature_cells
 from ..functions.running import WINDOW_ROWS, running_totals
 from ..functions.runtime import settle
+from ..functions.skew import small_side
 from .detectors import hbos, iforest, loda, pca
 
 QUANTILES = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99}
@@ -49,7 +50,7 @@ def feature_statistics(records: DataFrame, window_rows: int = WINDOW_ROWS) -> Da
     base = settle(base)
     largest = base.agg(F.max("distinct")).first()[0] or 0
     running = running_totals(counts, ["dataset", "pos"], "value", {"upto": "c"}, largest, window_rows)
-    joined = running.join(base.select("dataset", "pos", "n", "mean"), ["dataset", "pos"])
+    joined = running.join(small_side(base.select("dataset", "pos", "n", "mean")), ["dataset", "pos"])
     gap = F.col("value") - F.col("mean")
 
     def quantile(p: float) -> Column:
@@ -182,14 +183,14 @@ def _scaled(value: Column) -> Column:
 def scale_metafeatures(cells: DataFrame, scaling: DataFrame) -> DataFrame:
     """Training side: min-max per feature, missing to the feature's mean, else zero."""
     value = F.coalesce(_scaled(F.col("value")), F.col("fill"), F.lit(0.0))
-    return cells.join(scaling, "feature").withColumn("value", value).drop("lo", "hi", "fill")
+    return cells.join(small_side(scaling), "feature").withColumn("value", value).drop("lo", "hi", "fill")
 
 
 def apply_scaling(cells: DataFrame, scaling: DataFrame) -> DataFrame:
     """Scoring side: missing to zero, stored range, missing to zero, clipped to [0, 1]."""
     raw = F.nanvl(F.coalesce("value", F.lit(0.0)), F.lit(0.0))
     value = F.least(F.greatest(F.coalesce(_scaled(raw), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return cells.join(scaling, "feature").withColumn("value", value).drop("lo", "hi", "fill")
+    return cells.join(small_side(scaling), "feature").withColumn("value", value).drop("lo", "hi", "fill")
 
 
 def leave_one_trial_out(rows: DataFrame, left_out: str) -> DataFrame:

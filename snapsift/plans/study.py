@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import StudyConfig, TableFailure
 from ..functions.runtime import settle
+from ..functions.skew import small_side
 from ..operators import guards, labels, snapdiff
 from ..sources import tables as src
 
@@ -85,19 +86,20 @@ def derive_labels(
     the label counts and the numeric features.
     """
     by = ["snapshot", "table_name"]
-    chosen = guards.select_tables(status, valid, exclude_tables)
-    kept = cells.join(chosen.select(*by), by, "left_semi")
+    chosen = settle(guards.select_tables(status, valid, exclude_tables))
+    tables = small_side(chosen.select(*by))
+    kept = cells.join(tables, by, "left_semi")
     corrections = guards.filter_corrections(kept)
     fractions = labels.column_change_fraction(corrections, chosen.select(*by, "n_rows"), by)
-    bad = labels.unreliable_columns(fractions, by, configured=exclude_fields, tables=chosen)
+    bad = settle(labels.unreliable_columns(fractions, by, configured=exclude_fields, tables=chosen))
     # one list of column names per table
-    bad_lists = bad.groupBy(*by).agg(F.collect_list("column").alias("_bad"))
+    bad_lists = settle(bad.groupBy(*by).agg(F.collect_list("column").alias("_bad")))
     counts = labels.record_change_counts(
         corrections.filter(~F.exists("key", lambda k: k.isNull())), bad, ["key"], by
     )
     frame = (
-        records.join(chosen.select(*by), by, "left_semi")
-        .join(bad_lists, by, "left")
+        records.join(tables, by, "left_semi")
+        .join(small_side(bad_lists), by, "left")
         .withColumn("_bad", F.coalesce("_bad", F.array().cast("array<string>")))
         .join(counts, [*by, "key"], "left")
     )

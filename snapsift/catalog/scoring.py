@@ -19,7 +19,8 @@ def raw_plates(spark, sf):
 
 def plates(spark, sf):
     """Stored records of the plates, as detectors read them."""
-    return shared(spark, sf, "plates", lambda: store_records(preprocess.preprocess_plates(raw_plates(spark, sf))))
+    rows = fx.load(spark, sf, "lineitem").count()
+    return shared(spark, sf, "plates", lambda: store_records(preprocess.preprocess_plates(raw_plates(spark, sf)), rows))
 
 
 def scored(df, places=6):
@@ -480,7 +481,7 @@ def order_records(spark, sf):
     SELECT 'orders' AS dataset, 'HBOS' AS algorithm, round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0)
         / (sum(y) * (count(*) - sum(y))), 6) AS auroc FROM ranked""")
 def flagship(spark, sf):
-    records = store_records(order_records(spark, sf))
+    records = store_records(order_records(spark, sf), fx.load(spark, sf, "orders").count())
     scores = hbos.score_hbos(records).withColumn("score", F.round("score", 9))
     joined = scores.withColumn("algorithm", F.lit("HBOS")).join(
         records.select("dataset", "rec_id", "y"), ["dataset", "rec_id"])

@@ -89,8 +89,8 @@ def map_with_models(
 
     keys, groups = ["dataset", "chunk"], (total or 0) // chunk_rows
     return (
-        spread(chunked, keys, groups).groupBy(*keys)
-        .cogroup(spread(copies, keys, groups).groupBy(*keys))
+        spread(chunked, keys, total or 0, groups).groupBy(*keys)
+        .cogroup(spread(copies, keys, total or 0, groups).groupBy(*keys))
         .applyInPandas(map_chunk, schema)
     )
 

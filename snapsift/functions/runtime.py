@@ -50,21 +50,24 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, keys: list[str], groups: int = 0) -> DataFrame:
-    """Hash-partition compute-heavy work explicitly.
+def spread(df: DataFrame, keys: list[str], rows: int, groups: int = 0) -> DataFrame:
+    """Hash-partition compute-heavy work explicitly, by its known size.
 
     Adaptive execution sizes partitions by bytes; rows that are few in bytes but costly
-    in numpy would end up in one task. ``groups`` is the number of key groups, when known:
-    about eight of them share a task.
+    in numpy would end up in one task. Every core gets a partition; beyond that, one per
+    5,000 rows up to the configured shuffle partitions, which grow for very many rows.
+    ``groups`` is the number of key groups, when known: about eight share a task.
     """
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parallel = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(configured, parallel, min(groups // 8, 50_000)), *keys)
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_rows = min(rows // 5_000, max(configured, min(rows // 200_000, 100_000)))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, by_rows, min(groups // 8, 50_000)), *keys)
 
 
-def store_records(records: DataFrame) -> DataFrame:
+def store_records(records: DataFrame, rows: int) -> DataFrame:
     """Settle records spread by (dataset, rec_id), as multi-pass detectors read them.
 
-    Joins of scores with records on (dataset, rec_id) then need not move the records.
+    ``rows`` is their number or an upper bound. Joins of scores with records on
+    (dataset, rec_id) then need not move the records.
     """
-    return settle(spread(records, ["dataset", "rec_id"]))
+    return settle(spread(records, ["dataset", "rec_id"], rows))

@@ -101,7 +101,7 @@ def fit_forest(
         )
 
     groups = sizes.count() * n_trees
-    trees = spread(samples, ["dataset", "tree"], groups).groupBy("dataset", "tree").applyInPandas(grow, schema)
+    trees = spread(samples, ["dataset", "tree"], groups * SAMPLE_ROWS, groups).groupBy("dataset", "tree").applyInPandas(grow, schema)
     # n_trees * shares trees of at most 511 nodes each
     items = F.array_sort(
         F.collect_list(F.struct("share", "tree", "rows", "feature", "threshold", "left", "length"))

@@ -110,7 +110,7 @@ def split_blocks(points: DataFrame, block_rows: int) -> tuple[DataFrame, list[Da
     ``block`` is text, one step per level, so a prefix names the parent. The loop runs on
     the driver, once per level, reading one number each time.
     """
-    current = settle(spread(points, ["dataset", "point"]).withColumn("block", F.lit("")))
+    current = settle(spread(points, ["dataset", "point"], points.count()).withColumn("block", F.lit("")))
     for _ in range(MAX_LEVELS):
         sizes = current.groupBy("dataset", "block").agg(F.count(F.lit(1)).alias("n"))
         sizes = settle(sizes)
@@ -235,8 +235,9 @@ def _own_blocks(blocks: DataFrame, keep: int, metric: str) -> DataFrame:
         })
 
     schema = f"dataset string, block string, point long, features array<double>, bound double, {_LISTS}"
-    groups = blocks.groupBy("dataset", "block").agg(F.lit(1)).count()
-    return spread(blocks, ["dataset", "block"], groups).groupBy("dataset", "block").applyInPandas(search, schema)
+    sizes = blocks.groupBy("dataset", "block").agg(F.count(F.lit(1)).alias("n"))
+    groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return spread(blocks, ["dataset", "block"], rows or 0, groups).groupBy("dataset", "block").applyInPandas(search, schema)
 
 
 # --- walking the boxes -----------------------------------------------------------------------
@@ -336,8 +337,8 @@ def _visit(routed: DataFrame, blocks: DataFrame, keep: int, metric: str, block_r
 
     cols = ["dataset", "target", "chunk"]
     return (
-        spread(queries.select(*cols, "point", "features", "bound"), cols, groups).groupBy(*cols)
-        .cogroup(spread(held.select(*cols, "point", "features", "ids"), cols, groups).groupBy(*cols))
+        spread(queries.select(*cols, "point", "features", "bound"), cols, total, groups).groupBy(*cols)
+        .cogroup(spread(held.select(*cols, "point", "features", "ids"), cols, total, groups).groupBy(*cols))
         .applyInPandas(search, f"dataset string, point long, {_LISTS}")
     )
 

@@ -339,8 +339,8 @@ META = CMP + ["""
     sc AS (SELECT feature, min(value) AS lo, max(value) AS hi, avg(value) AS m FROM clean GROUP BY feature)"""]
 
 
-@query("meta_training_set", with_sql(META + [f"pm AS (SELECT {DATASET}, algorithm, auroc FROM cmp)"], f"""
-    SELECT dataset, feature, round(value, 6) AS value, {PIVOT} FROM clean JOIN pm USING ({DATASET}) GROUP BY dataset, feature, value"""))
+@query("meta_training_set", with_sql(MATRIX + META[len(CMP):], f"""
+    SELECT dataset, feature, round(value, 6) AS value, {PIVOT} FROM clean JOIN mat USING ({DATASET}) GROUP BY dataset, feature, value"""))
 def meta_training_set(spark, sf):
     cells = selector.clean_metafeatures(meta_cells(spark, sf))
     out = selector.meta_training_set(cells, selector.performance_matrix(table(spark, sf), ALGS))

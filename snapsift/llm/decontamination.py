@@ -282,12 +282,13 @@ def _finder(shared):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs."""
-    passes = find_matches(docs, benchmark, docs.columns)
-    if len(passes) == 1:
-        return passes[0].filter(F.size("hit") == 0).select(*docs.columns)
-    for block in range(len(passes)):
-        docs = find_matches(docs, benchmark, docs.columns)[block].filter(F.size("hit") == 0).select(*docs.columns)
-    return docs
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    passes = find_matches(rows, benchmark, ["_row"])
+    clean = passes[0].filter(F.size("hit") == 0).select("_row.*")
+    for block in range(1, len(passes)):
+        rows = clean.select(F.struct("*").alias("_row"), "text")
+        clean = find_matches(rows, benchmark, ["_row"])[block].filter(F.size("hit") == 0).select("_row.*")
+    return clean
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from . import decontamination, language, licenses, mixing, quality, warc  # noqa: F401
+from . import decontamination, language, licenses, mixing, privacy, quality, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

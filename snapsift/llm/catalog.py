@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from . import decontamination, html_text, language, licenses, mixing, privacy, quality, shingle_join, warc  # noqa: F401
+from . import decontamination, html_text, language, licenses, mixing, passages, privacy, quality, shingle_join, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,8 @@ sites say it differently or not at all, every page is also seen in ``VARIANTS``
 containers are renamed or lose their names, and menus, notices, adverts, forms, sidebars and reader
 comments with the words of other pages are put around and between its paragraphs.
 
-Defined results: null or empty html gives empty text; blocks without text are none; repeated rows
+Defined results: where no page of the sample tells by its markup what an article is, no block is
+one; null or empty html gives empty text; blocks without text are none; repeated rows
 are extracted each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -379,7 +380,9 @@ def fit_labeller(pages: DataFrame, fit_pages: int = FIT_PAGES) -> BlockLabeller:
     marked = [p for p in marked if any(good for _, good in p)]
     pool = [b.text for p in marked for b, _ in p]
     if not pool:
-        return BlockLabeller()
+        nothing = BlockLabeller()
+        nothing.p["out_bias"] -= 100
+        return nothing
     rng = np.random.default_rng(SEED)
     pages_seen = marked + [altered(p, pool, rng) for _ in range(VARIANTS) for p in marked]
     return BlockLabeller().fit([(vectors([b for b, _ in p]), np.array([g for _, g in p], np.float32)) for p in pages_seen])

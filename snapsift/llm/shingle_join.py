@@ -343,15 +343,15 @@ def _join_large(large: DataFrame, sizes: DataFrame) -> DataFrame:
     compared = store(compared.drop("_pivot"))
     near = compared.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     counts = store(compared.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("n_left")).filter("n_left > 0").select(
-        "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_left") / BLOCK).cast("int").alias("left_blocks"),
+        "root", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("n_left") / BLOCK).alias("left_blocks"),
     ))
     blocked = compared.join(small_side(counts), "root").withColumn("_draw", F.xxhash64("node"))
     left = blocked.filter(~F.col("near")).select(
-        "root", F.pmod("_draw", "left_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("j"),
+        "root", F.pmod("_draw", "left_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"),
         F.lit(0).alias("side"), "node", "shingles",
     )
     whole = blocked.select(
-        "root", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).cast("long").alias("i"), F.pmod("_draw", "blocks").alias("j"),
+        "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - 1)).alias("i"), F.pmod("_draw", "blocks").alias("j"),
         F.lit(1).alias("side"), "node", "shingles",
     )
     pairs = left.unionByName(whole).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")

@@ -153,11 +153,7 @@ def write_comparisons(spark, sf):
         f"S{i}": table.filter(F.col("snapshot") == f"S{i}").drop("snapshot") for i in range(5)
     }
     src.write_comparisons(src.tag_comparisons(parts), path)
-    return spark.read.schema(
-        "trial string, num_s string"
-    ).option("header", True).csv(path).limit(0).unionByName(
-        spark.read.option("header", True).csv(path), allowMissingColumns=True
-    ).select(
+    return spark.read.option("header", True).csv(path).select(
         "trial", "snapshot", "plate", "algorithm",
         F.col("num_samples").cast("long").alias("num_samples"), F.col("auroc").cast("double").alias("auroc"),
     )

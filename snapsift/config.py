@@ -22,8 +22,6 @@ MAX_MISSING_FRACTION = 0.999
 IGNORED_VARIABLES = ("PSIGN", "PSDATE", "pinit", "init", "help")
 IGNORED_CENTRES = (999,)
 MIN_PARTICIPANTS_PER_CENTRE = 2
-# End of fixed values.
-
 #: Failure kind -> what it means.
 FAILURES = {
     "ExcludedTable": "the study configuration leaves this table out",
@@ -43,6 +41,7 @@ FAILURES = {
     "DiffIdentifiersInsufficient": "the key does not identify the changed cells",
     "MetadataUnavailable": "the study has no table list",
 }
+# End of fixed values.
 
 
 class TableFailure(Exception):
@@ -73,6 +72,8 @@ class StudyConfig:
     max_key_cols: int = MAX_KEY_COLS
     label_exclude_tables: tuple[str, ...] = ()
     label_exclude_fields: tuple[str, ...] = ()
+    column_threshold: float = COLUMN_CHANGE_FRACTION
+    record_threshold: float = RECORD_CHANGE_FRACTION
 
     @classmethod
     def from_toml(cls, path: str) -> "StudyConfig":
@@ -98,6 +99,8 @@ class StudyConfig:
             max_key_cols=overrides.get("max_num_id_cols", MAX_KEY_COLS),
             label_exclude_tables=tuple(labelling.get("exclude_tables", ())),
             label_exclude_fields=tuple(labelling.get("exclude_fields", ())),
+            column_threshold=labelling.get("column_threshold", COLUMN_CHANGE_FRACTION),
+            record_threshold=labelling.get("record_threshold", RECORD_CHANGE_FRACTION),
         )
 
     def snapshot_root(self, snapshot: str) -> str:

@@ -7,7 +7,6 @@ its bounds and the dataset's size. A dataset is a (trial, snapshot, plate).
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cells import only
 from ..functions.running import WINDOW_ROWS, running_totals
 from ..functions.runtime import settle
 from ..functions.skew import small_side
@@ -85,9 +85,12 @@ def algorithm_names(df: DataFrame) -> list[str]:
 
 
 def auroc_matrix(df: DataFrame, algorithms: list[str], by: list[str] = DATASET) -> DataFrame:
-    """Dataset by algorithm; datasets without any value drop out, other gaps are zero."""
+    """Dataset by algorithm; datasets without any value drop out, other gaps are zero.
+
+    Two results of one algorithm on one dataset raise an error when the plan runs.
+    """
     return (
-        df.groupBy(*by).pivot("algorithm", algorithms).agg(F.first("auroc"))
+        df.groupBy(*by).pivot("algorithm", algorithms).agg(only("auroc", "results of an algorithm"))
         .dropna(how="all", subset=algorithms).na.fill(0.0, algorithms)
     )
 
@@ -134,20 +137,21 @@ def friedman_statistic(df: DataFrame, algorithms: list[str]) -> DataFrame:
 def wilcoxon_sums(df: DataFrame, algorithms: list[str], window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Signed-rank sums and z of every algorithm pair (zero differences dropped).
 
-    Differences are formed from the pivoted row of a dataset. Equal differences are counted
+    A pair whose results are all equal has n = 0 and no z. Differences are formed from the
+    pivoted row of a dataset. Equal differences are counted
     together and ranked with running totals, so many datasets do not meet in one task.
     """
-    pairs = [(a, b) for i, a in enumerate(algorithms) for b in algorithms[i + 1 :]]
-    gaps = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"),
-                F.round(F.col(f"`{a}`") - F.col(f"`{b}`"), 12).alias("gap"),
-            )
-            for a, b in pairs
-        ]
-    )
-    rows = auroc_matrix(df, algorithms).select(F.inline(gaps)).filter(F.col("gap") != 0)
+    results = F.array(*[F.struct(F.lit(a).alias("name"), F.col(f"`{a}`").alias("auroc")) for a in algorithms])
+
+    def against(x, i):
+        later = F.slice("_results", i + 2, F.lit(len(algorithms)))
+        return F.transform(later, lambda y: F.struct(
+            x["name"].alias("a"), y["name"].alias("b"), F.round(x["auroc"] - y["auroc"], 12).alias("gap")))
+
+    # the plan holds one expression for all pairs
+    gaps = F.flatten(F.transform("_results", against))
+    paired = auroc_matrix(df, algorithms).select(results.alias("_results"))
+    rows = paired.select(F.inline(gaps)).filter(F.col("gap") != 0)
     counts = rows.groupBy("a", "b", F.abs("gap").alias("size")).agg(
         F.count(F.lit(1)).alias("c"), F.sum((F.col("gap") > 0).cast("long")).alias("up")
     )
@@ -161,7 +165,10 @@ def wilcoxon_sums(df: DataFrame, algorithms: list[str], window_rows: int = WINDO
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, F.sqrt(variance))
-    return sums.select("a", "b", "n", "w_plus", "w_minus", z.alias("z"))
+    tested = sums.select("a", "b", "n", "w_plus", "w_minus", z.alias("z"))
+    pairs = [(a, b) for i, a in enumerate(algorithms) for b in algorithms[i + 1 :]]
+    every = df.sparkSession.createDataFrame(pairs, "a string, b string")
+    return every.join(tested, ["a", "b"], "left").fillna(0, ["n", "w_plus", "w_minus"])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -171,7 +178,9 @@ def two_sided_p(z: pd.Series) -> pd.Series:
 
 
 def pairwise_wilcoxon(df: DataFrame, algorithms: list[str]) -> DataFrame:
-    return wilcoxon_sums(df, algorithms).withColumn("p", two_sided_p("z"))
+    """Sums, z and two-sided p of every pair; p is 1 where no dataset differs."""
+    p = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(two_sided_p("z"))
+    return wilcoxon_sums(df, algorithms).withColumn("p", p)
 
 
 def holm_adjust(tests: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -252,7 +261,7 @@ def best_loses(df: DataFrame, best: str) -> DataFrame:
 
 def winner_breakdown(df: DataFrame, algorithms: list[str]) -> DataFrame:
     """Share of datasets each algorithm wins (first name on ties)."""
-    filled = df.groupBy(*DATASET).pivot("algorithm", algorithms).agg(F.first("auroc")).na.fill(0.0, algorithms)
+    filled = df.groupBy(*DATASET).pivot("algorithm", algorithms).agg(only("auroc", "results of an algorithm")).na.fill(0.0, algorithms)
     top = F.greatest(*[F.col(f"`{a}`") for a in algorithms]) if len(algorithms) > 1 else F.col(f"`{algorithms[0]}`")
     winner = F.coalesce(*[F.when(F.col(f"`{a}`") == top, F.lit(a)) for a in sorted(algorithms)])
     wins = filled.groupBy(winner.alias("algorithm")).agg(F.count(F.lit(1)).alias("wins"))
@@ -316,10 +325,6 @@ def trial_summary(df: DataFrame, best: str) -> DataFrame:
     )
 
 
-def trial_facts(spark) -> DataFrame:
-    return spark.createDataFrame(TRIAL_FACTS, FACTS_SCHEMA)
-
-
 def join_trial_facts(summary: DataFrame, facts: DataFrame) -> DataFrame:
     return facts.join(summary, "trial", "full")
 
@@ -328,7 +333,3 @@ def trial_algorithm_means(df: DataFrame, algorithms: list[str], chosen: list[str
     """Mean AUROC (gaps as zero) per trial for the chosen algorithms."""
     cells = matrix_cells(df, algorithms, ["trial", "snapshot_number", "plate"])
     return cells.groupBy("trial").pivot("algorithm", chosen).agg(F.avg("auroc"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

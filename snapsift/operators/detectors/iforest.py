@@ -41,11 +41,14 @@ def tree_samples(records: DataFrame, sizes: DataFrame, total: int, n_trees: int,
     wanted = SAMPLE_ROWS + 8 * math.sqrt(SAMPLE_ROWS)
     rate = F.least(F.lit(1.0), F.lit(wanted) / F.col("_n"))
 
-    def draw(tree):
-        return F.pmod(F.xxhash64(F.col("rec_id"), tree, F.lit(seed)), F.lit(_GRID)) / F.lit(float(_GRID))
-
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < rate)
-    drawn = located.select("dataset", "rec_id", "features", F.explode(trees).alias("tree"))
+    def draw(*of):
+        return F.pmod(F.xxhash64(F.col("rec_id"), *of, F.lit(seed)), F.lit(_GRID)) / F.lit(float(_GRID))
+
+    # one hash tells whether a record may enter any tree; only those are tried tree by tree,
+    # at a rate that gives each record the same chance in each tree
+    some = F.least(F.lit(1.0), rate * n_trees)
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < rate / some)
+    drawn = located.filter(draw(F.lit(-1)) < some).select("dataset", "rec_id", "features", F.explode(trees).alias("tree"))
     order = W.partitionBy("dataset", "tree").orderBy(F.xxhash64("rec_id", "tree", F.lit(seed)), "rec_id")
     return (
         drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= SAMPLE_ROWS).drop("_r")
@@ -93,7 +96,8 @@ def fit_forest(
         d, tree = x.shape[1], int(pdf["tree"].iloc[0])
         rows = []
         for i, share in enumerate(max_features):
-            rng = np.random.default_rng([seed, tree, i])
+            # by value, so that a setting scores alike whatever else is asked for
+            rng = np.random.default_rng([seed, tree, round(share * 1_000_000)])
             used = np.sort(rng.choice(d, max(1, int(share * d)), replace=False))
             rows.append((pdf["dataset"].iloc[0], tree, i, len(x), *grow_tree(x, used, rng)))
         return pd.DataFrame(

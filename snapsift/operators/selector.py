@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cells import only
 from ..functions.models import feature_cells
 from ..functions.running import WINDOW_ROWS, running_totals
 from ..functions.runtime import settle
@@ -136,7 +137,7 @@ def performance_matrix(comparisons: DataFrame, algorithms: list[str]) -> DataFra
     """(trial, snapshot, plate) by algorithm of AUROC in the given column order; rows
     without any value drop out, other gaps are zero."""
     return (
-        comparisons.groupBy("trial", "snapshot", "plate").pivot("algorithm", algorithms).agg(F.first("auroc"))
+        comparisons.groupBy("trial", "snapshot", "plate").pivot("algorithm", algorithms).agg(only("auroc", "results of an algorithm"))
         .dropna(how="all", subset=algorithms).na.fill(0.0, algorithms)
     )
 
@@ -232,7 +233,7 @@ class Selector:
 
 def _vectors(cells: DataFrame, features: list[str]) -> DataFrame:
     """One ML vector per dataset, in the order of ``features``; absent ones are zero."""
-    wide = cells.groupBy("dataset").pivot("feature", features).agg(F.first("value")).na.fill(0.0)
+    wide = cells.groupBy("dataset").pivot("feature", features).agg(only("value", "values of a meta-feature")).na.fill(0.0)
     return wide.select("dataset", array_to_vector(F.array(*[F.col(f"`{f}`") for f in features])).alias("x"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import only
+
 STANDARD_KEYS = ("centre", "id")
 REPORT_KEY_PATTERN = r"^(?:.+r(pt)?n$)"
 
@@ -36,7 +38,7 @@ def status_matrix(summary: DataFrame, snapshots: list[str]) -> DataFrame:
     return (
         summary.groupBy("table_name")
         .pivot("snapshot", snapshots)
-        .agg(F.first(cell))
+        .agg(only(cell, "results of a table"))
         .na.fill("TableNotPresent", snapshots)
     )
 

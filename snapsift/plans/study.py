@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import StudyConfig, TableFailure
 from ..functions.runtime import settle
 from ..functions.skew import small_side
@@ -15,6 +16,15 @@ from ..operators import guards, labels, snapdiff
 from ..sources import tables as src
 
 
+CELLS_SCHEMA = (
+    "trial string, snapshot string, table_name string, key array<string>, diff string, column string, left string, right string"
+)
+RECORDS_SCHEMA = (
+    "trial string, snapshot string, table_name string, key array<string>, value_names array<string>, values array<double>, "
+    "text_names array<string>, texts array<string>, columns array<string>"
+)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -48,9 +58,9 @@ def study_diff(
         outcomes.append(snapdiff.success_row(study.name, snapshot, table, result))
         cells.append(snapdiff.long_diff(study.name, snapshot, table, result))
         records.append(study_records(study.name, snapshot, table, result))
-    if not cells:
-        raise TableFailure("NoMeaningfulData")
-    cells, records = settle(union_all(cells)), union_all(records)
+    # without any success the failure rows are the result, beside empty frames
+    cells = settle(union_all(cells)) if cells else spark.createDataFrame([], CELLS_SCHEMA)
+    records = union_all(records) if records else spark.createDataFrame([], RECORDS_SCHEMA)
     outcomes = spark.createDataFrame(outcomes, snapdiff.STATUS_SCHEMA)
     return cells, settle(snapdiff.table_status(outcomes, cells, records)), records
 
@@ -58,16 +68,20 @@ def study_diff(
 def study_records(trial: str, snapshot: str, table: str, result: snapdiff.TableDiff) -> DataFrame:
     """Records of one table with the schema shared by all tables.
 
-    ``values`` are the numeric columns in order of ``value_names``; ``n_features`` counts
-    every non-key column, numeric or not.
+    ``values`` are the numeric columns in order of ``value_names``; ``texts`` hold all other
+    columns (text, dates, booleans) as text, in order of ``text_names``; ``columns`` names
+    every non-key column.
     """
     names = guards.numeric_columns(result.records, result.key)
     values = F.array(*[F.col(f"`{c}`").cast("double") for c in names]).cast("array<double>")
+    others = [c for c in table_schema_text(result) if c not in names]
     return result.records.select(
         F.lit(trial).alias("trial"), F.lit(snapshot).alias("snapshot"), F.lit(table).alias("table_name"),
         snapdiff.text_key(result.key).alias("key"),
         F.array(*[F.lit(c) for c in names]).cast("array<string>").alias("value_names"),
         values.alias("values"),
+        F.array(*[F.lit(c) for c in others]).cast("array<string>").alias("text_names"),
+        F.array(*[F.col(f"`{c}`").cast("string") for c in others]).cast("array<string>").alias("texts"),
         F.array(*[F.lit(c) for c in table_schema_text(result)]).cast("array<string>").alias("columns"),
     )
 
@@ -79,11 +93,13 @@ def derive_labels(
     valid: DataFrame | None = None,
     exclude_tables: tuple[str, ...] = (),
     exclude_fields: tuple[str, ...] = (),
+    column_threshold: float = config.COLUMN_CHANGE_FRACTION,
+    record_threshold: float = config.RECORD_CHANGE_FRACTION,
 ) -> DataFrame:
     """Labelled records of all selected tables in one plan.
 
-    Configured and derived exclusions are taken per table. Excluded columns leave both
-    the label counts and the numeric features.
+    Configured and derived exclusions are taken per table. Excluded columns leave the label
+    counts, the numeric features and the text columns.
     """
     by = ["snapshot", "table_name"]
     chosen = settle(guards.select_tables(status, valid, exclude_tables))
@@ -91,7 +107,7 @@ def derive_labels(
     kept = cells.join(tables, by, "left_semi")
     corrections = guards.filter_corrections(kept)
     fractions = labels.column_change_fraction(corrections, chosen.select(*by, "n_rows"), by)
-    bad = settle(labels.unreliable_columns(fractions, by, configured=exclude_fields, tables=chosen))
+    bad = settle(labels.unreliable_columns(fractions, by, column_threshold, exclude_fields, tables=chosen))
     # one list of column names per table
     bad_lists = settle(bad.groupBy(*by).agg(F.collect_list("column").alias("_bad")))
     counts = labels.record_change_counts(
@@ -104,16 +120,18 @@ def derive_labels(
         .join(counts, [*by, "key"], "left")
     )
     width = F.size(F.array_except("columns", "_bad"))
-    reliable = F.filter(
-        F.arrays_zip("value_names", "values"), lambda x: ~F.array_contains(F.col("_bad"), x["value_names"])
-    )
+    def reliable(names, values):
+        return F.filter(F.arrays_zip(names, values), lambda x: ~F.array_contains(F.col("_bad"), x[names]))
+
     frame = frame.withColumn("change_count", F.coalesce("change_count", F.lit(0).cast("long"))).withColumn(
         "_width", width
     )
-    out = labels.derive_record_labels(frame, "_width")
-    return out.withColumn("_r", reliable).select(
+    out = labels.derive_record_labels(frame, "_width", record_threshold)
+    out = out.withColumns({"_r": reliable("value_names", "values"), "_t": reliable("text_names", "texts")})
+    return out.select(
         "trial", *by, "key",
         F.col("_r.value_names").alias("value_names"), F.col("_r.values").alias("values"),
+        F.col("_t.text_names").alias("text_names"), F.col("_t.texts").alias("texts"),
         "change_count", F.coalesce("change_frac", F.lit(0.0)).alias("change_frac"),
         F.coalesce("record_change", F.lit(False)).alias("record_change"), "any_change",
     )
@@ -148,7 +166,8 @@ def run_study(
     status = spark.read.parquet(f"{output}/status")
     valid = src.valid_tables(src.read_metadata(spark, study), study.metadata_column, status)
     labelled = derive_labels(
-        cells, status, records, valid, study.label_exclude_tables, study.label_exclude_fields
+        cells, status, records, valid, study.label_exclude_tables, study.label_exclude_fields,
+        study.column_threshold, study.record_threshold,
     )
     src.write_labelled(labelled, f"{output}/derived")
 

@@ -53,8 +53,18 @@ def list_snapshot(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     )
-    tail = F.regexp_extract("path", f"{root.rstrip('/').rsplit('/', 1)[-1]}/([^/]+)", 1)
-    return files.select(tail.alias("file")).filter(F.col("file") != "").distinct()
+    return files.select(first_step("path", qualified(spark, root)).alias("file")).filter(F.col("file") != "").distinct()
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as its file system writes it in the paths of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def first_step(path: str, root: str) -> F.Column:
+    """First step of a path below ``root``, which is a literal prefix of it."""
+    return F.when(F.col(path).startswith(root + "/"), F.split_part(F.expr(f"substring({path}, {len(root) + 2})"), F.lit("/"), F.lit(1)))
 
 
 def pair_snapshot_tables(pre: DataFrame, gold: DataFrame) -> DataFrame:
@@ -101,13 +111,12 @@ def read_metadata(spark: SparkSession, study: StudyConfig) -> DataFrame | None:
     head = [r["value"] for r in spark.read.text(path).limit(study.metadata_header + 1).collect()]
     rows = list(csv.reader(head))
     position = rows[-1].index(study.metadata_column)
-    heading = [row[position] for row in rows if len(row) > position]
     names = [f"c{i}" for i in range(len(rows[-1]))]
-    body = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path)
+    # titles and heading go by their line, so a table may bear the same name as a title
+    lines = spark.read.text(path).rdd.zipWithIndex().filter(lambda x: x[1] > study.metadata_header).map(lambda x: x[0]["value"])
+    body = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(lines)
     column = F.col(names[position])
-    return body.filter(column.isNotNull() & ~column.isin(heading)).select(
-        column.alias(study.metadata_column)
-    )
+    return body.filter(column.isNotNull()).select(column.alias(study.metadata_column))
 
 
 def write_diff(cells: DataFrame, path: str) -> None:
@@ -168,12 +177,12 @@ def write_trial_comparisons(df: DataFrame, root: str) -> None:
 
 def read_comparisons(spark: SparkSession, root: str, schema: str = COMPARISON_SCHEMA) -> DataFrame:
     """Read a folder of comparison CSVs; the trial is the file or folder stem below it."""
-    base = root.rstrip("/").rsplit("/", 1)[-1]
     df = (
         spark.read.schema(schema).option("header", True).option("recursiveFileLookup", "true").csv(root)
     )
-    stem = F.regexp_extract(F.col("_metadata.file_path"), f"{base}/(?:trial=)?([^/.]+)", 1)
-    return df.withColumn("trial", stem)
+    df = df.withColumn("_path", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))))
+    step = first_step("_path", qualified(spark, root))
+    return df.withColumn("trial", F.regexp_extract(step, r"^(?:trial=)?([^.]+)", 1)).drop("_path")
 
 
 def write_metafeatures(df: DataFrame, path: str) -> None:

@@ -18,6 +18,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 CHUNK_ROWS = 50_000
 
 SCORES = "dataset string, rec_id long, score double"
+#: Cells of partial sums that a task holds.
+FOLD_CELLS = 4_000_000
 ARRAYS = "dataset string, part array<double>"
 
 ModelFn = Callable[[pd.DataFrame, np.ndarray, dict], pd.DataFrame]
@@ -146,14 +148,28 @@ def fold_arrays(
 ) -> DataFrame:
     """``(dataset, total array)``: element-wise sum of ``partial`` over all parts.
 
-    Each part contributes one array; the arrays are summed by position, so nothing but
-    partial sums is shuffled.
+    Arrays are added up within each partition and then by position, so a partition shuffles one
+    array per dataset (more only when the sums held reach ``FOLD_CELLS``).
     """
 
     def rows(part, matrix, model):
         return pd.DataFrame({"dataset": [part["dataset"].iloc[0]], "part": [partial(matrix, model).ravel()]})
 
-    parts = map_with_models(records, models, rows, ARRAYS, **limits)
+    def add_up(batches):
+        held, cells = {}, 0
+        for pdf in batches:
+            for name, part in zip(pdf["dataset"], pdf["part"]):
+                if name in held:
+                    held[name] = held[name] + part
+                else:
+                    held[name], cells = np.asarray(part), cells + len(part)
+            if cells > FOLD_CELLS:
+                yield pd.DataFrame({"dataset": list(held), "part": list(held.values())})
+                held, cells = {}, 0
+        if held:
+            yield pd.DataFrame({"dataset": list(held), "part": list(held.values())})
+
+    parts = map_with_models(records, models, rows, ARRAYS, **limits).mapInPandas(add_up, ARRAYS)
     summed = parts.select("dataset", F.posexplode("part").alias("pos", "v")).groupBy("dataset", "pos").agg(
         F.sum("v").alias("v")
     )

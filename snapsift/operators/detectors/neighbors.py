@@ -15,6 +15,7 @@ Nothing is approximated: a point that cannot rule out a block visits it.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -487,27 +488,48 @@ def abod_setting(k: int) -> str:
     return f"ABOD(n_neighbors={k})"
 
 
-def angle_variance(p: np.ndarray, v: np.ndarray) -> float:
-    """Negative variance of the weighted angles between neighbours, seen from p."""
-    gap = v - p
-    size = (gap * gap).sum(axis=1)
-    gap, size = gap[size > 0], size[size > 0]
-    if len(size) < 2:
-        return 0.0
-    a, b = np.triu_indices(len(size), 1)
-    return -float(np.var((gap @ gap.T)[a, b] / (size[a] * size[b])))
+def angle_variances(p: np.ndarray, v: np.ndarray, ks: list[int]) -> np.ndarray:
+    """Negative variance of the weighted angles between the first k neighbours, seen from p.
+
+    ``p`` is (rows, d) and ``v`` (rows, neighbours, d). One product serves every k, of which
+    prefixes are taken; neighbours at the place of p count for none.
+    """
+    gap = v - p[:, None, :]
+    size = (gap * gap).sum(axis=2)
+    apart = size > 0
+    scale = np.where(apart, size, 1.0)
+    angles = np.einsum("nid,njd->nij", gap, gap) / (scale[:, :, None] * scale[:, None, :])
+    pairs = apart[:, :, None] & apart[:, None, :]
+    out = np.zeros((len(p), len(ks)))
+    for i, k in enumerate(ks):
+        a, b = np.triu_indices(min(k, v.shape[1]), 1)
+        use, angle = pairs[:, a, b], angles[:, a, b]
+        n = np.maximum(use.sum(axis=1), 1)
+        mean = np.where(use, angle, 0).sum(axis=1) / n
+        out[:, i] = -np.where(use, (angle - mean[:, None]) ** 2, 0).sum(axis=1) / n
+    return out
+
+
+def by_neighbours(pdf: pd.DataFrame, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers, points and neighbour vectors of rows with equally many neighbours and features."""
+    width = pdf["features"].map(len).to_numpy()
+    count = pdf["vectors"].map(len).to_numpy() // np.maximum(width, 1)
+    for shape in sorted(set(zip(width.tolist(), count.tolist()))):
+        alike = np.flatnonzero((width == shape[0]) & (count == shape[1]))
+        for at in range(0, len(alike), rows):
+            part = alike[at : at + rows]
+            p = np.stack(pdf["features"].iloc[part].to_list())
+            yield part, p, np.stack(pdf["vectors"].iloc[part].to_list()).reshape(len(part), shape[1], shape[0])
 
 
 def abod_scores(graph: Graph, ks: list[int]) -> DataFrame:
     """Point scores: pairs of neighbours are formed inside numpy, never as rows."""
     def score(batches):
         for pdf in batches:
-            out = []
-            for p, v in zip(pdf["features"], pdf["vectors"]):
-                p = np.asarray(p)
-                v = np.asarray(v).reshape(-1, len(p))
-                out.append([angle_variance(p, v[:k]) for k in ks])
-            yield pd.DataFrame({"dataset": pdf["dataset"], "point": pdf["point"], "scores": out})
+            out = np.zeros((len(pdf), len(ks)))
+            for part, p, v in by_neighbours(pdf):
+                out[part] = angle_variances(p, v, ks)
+            yield pd.DataFrame({"dataset": pdf["dataset"], "point": pdf["point"], "scores": list(out)})
 
     return neighbor_vectors(graph).mapInPandas(score, "dataset string, point long, scores array<double>")
 
@@ -516,31 +538,35 @@ def cof_setting(k: int) -> str:
     return f"COF(n_neighbors={k})"
 
 
-def chain_distance(p: np.ndarray, v: np.ndarray) -> float:
-    """Average chaining distance from p through its neighbours, nearest to the set first."""
-    k = len(v)
-    near = np.sqrt(((v - p) ** 2).sum(axis=1))
-    left = np.ones(k, dtype=bool)
-    total = 0.0
-    for i in range(1, k + 1):
-        # ties go to the neighbour of lower rank
-        j = int(np.argmin(np.where(left, near, np.inf)))
-        total += 2 * (k + 1 - i) / (k * (k + 1)) * near[j]
-        left[j] = False
-        near = np.minimum(near, np.sqrt(((v - v[j]) ** 2).sum(axis=1)))
-    return total
+def chain_distances(p: np.ndarray, v: np.ndarray, ks: list[int]) -> np.ndarray:
+    """Average chaining distance from p through its first k neighbours, nearest to the set first.
+
+    ``p`` is (rows, d) and ``v`` (rows, neighbours, d); a step of the chain is taken for all rows
+    at once.
+    """
+    rows = np.arange(len(p))
+    start = np.sqrt(((v - p[:, None, :]) ** 2).sum(axis=2))
+    out = np.zeros((len(p), len(ks)))
+    for column, wanted in enumerate(ks):
+        k = min(wanted, v.shape[1])
+        near, left = start[:, :k].copy(), np.ones((len(p), k), dtype=bool)
+        for i in range(1, k + 1):
+            # ties go to the neighbour of lower rank
+            j = np.argmin(np.where(left, near, np.inf), axis=1)
+            out[:, column] += 2 * (k + 1 - i) / (k * (k + 1)) * near[rows, j]
+            left[rows, j] = False
+            near = np.minimum(near, np.sqrt(((v[:, :k] - v[rows, j][:, None, :]) ** 2).sum(axis=2)))
+    return out
 
 
 def cof_scores(graph: Graph, ks: list[int]) -> DataFrame:
     def chains(batches):
         for pdf in batches:
-            out = []
-            for p, v in zip(pdf["features"], pdf["vectors"]):
-                p = np.asarray(p)
-                v = np.asarray(v).reshape(-1, len(p))
-                out.append([chain_distance(p, v[:k]) for k in ks])
+            out = np.zeros((len(pdf), len(ks)))
+            for part, p, v in by_neighbours(pdf):
+                out[part] = chain_distances(p, v, ks)
             yield pd.DataFrame({
-                "dataset": pdf["dataset"], "point": pdf["point"], "neighbors": pdf["neighbors"], "ac": out,
+                "dataset": pdf["dataset"], "point": pdf["point"], "neighbors": pdf["neighbors"], "ac": list(out),
             })
 
     schema = "dataset string, point long, neighbors array<long>, ac array<double>"

@@ -1,14 +1,14 @@
 """One-class support vector machine (Schölkopf et al. 2001), distributed form.
 
-The kernel is approximated with landmarks (Nyström map) and the primal is minimised by a
-fixed number of full-batch steps. Each step is one distributed sum; weights of all
-settings travel together.
+The kernel is approximated with landmarks (Nyström map) and the primal is minimised by
+full-batch steps until no weight moves by more than a tolerance. Each step is one distributed
+sum; weights of all settings travel together. Number of landmarks, most steps and tolerance are
+parameters. With the linear kernel there are at least as many landmarks as features, so its map
+keeps every direction the landmarks span.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +22,7 @@ from .pca import standardise
 
 LANDMARKS = 64
 STEPS = 12
+TOLERANCE = 1e-4
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 
 
@@ -43,19 +44,20 @@ def kernel_map(landmarks: np.ndarray, kernel: str) -> np.ndarray:
     return vectors * scale
 
 
-def fit_landmarks(records: DataFrame, kernels: list[str], seed: int) -> DataFrame:
+def fit_landmarks(records: DataFrame, kernels: list[str], seed: int, landmarks: int = LANDMARKS) -> DataFrame:
     """Model row per dataset: statistics, a seeded set of landmarks and one map per kernel."""
     stats = feature_stats(records)
     total = stats.agg(F.sum("n")).first()[0] or 0
+    wanted = F.greatest(F.lit(landmarks), F.size("mean") + 1 if "linear" in kernels else F.lit(0))
     located = skew_lookup(
         records.select("dataset", "rec_id", "features"),
-        stats.select("dataset", F.col("n").alias("_n"), F.col("n").alias("_w")), ["dataset"], "_w", total, "inner",
+        stats.select("dataset", F.col("n").alias("_n"), F.col("n").alias("_w"), wanted.alias("_want")), ["dataset"], "_w", total, "inner",
     )
     order = F.xxhash64("rec_id", F.lit(seed))
-    rate = F.lit(LANDMARKS + 10 * math.sqrt(LANDMARKS)) / F.col("_n")
+    rate = (F.col("_want") + 10 * F.sqrt("_want")) / F.col("_n")
     near = located.filter(F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate)
     rank = W.partitionBy("dataset").orderBy(order, "rec_id")
-    chosen = near.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= LANDMARKS)
+    chosen = near.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= F.col("_want"))
     marks = chosen.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("_r", "features"))).alias("m"))
     model = stats.join(marks.select("dataset", F.flatten("m.features").alias("marks")), "dataset")
 
@@ -91,11 +93,12 @@ def setting_name(nu: float, kernel: str) -> str:
 
 
 def score_ocsvm_settings(
-    records: DataFrame, settings: list[tuple[float, str]], steps: int = STEPS, seed: int = 42, **limits
+    records: DataFrame, settings: list[tuple[float, str]], steps: int = STEPS, seed: int = 42,
+    landmarks: int = LANDMARKS, tolerance: float = TOLERANCE, **limits
 ) -> DataFrame:
     """Boundary scores of many ``(nu, kernel)``: offset minus projection."""
     kernels = sorted({k for _, k in settings})
-    base = fit_landmarks(records, kernels, seed)
+    base = fit_landmarks(records, kernels, seed, landmarks).withColumn("change", F.lit(float("inf")))
     width = F.col("rows") + 1
     models = settle(base.withColumn("weights", F.array_repeat(F.lit(0.0), (width * len(settings)).cast("int"))))
 
@@ -118,7 +121,7 @@ def score_ocsvm_settings(
 
         def descend(batches, step=step):
             for pdf in batches:
-                weights = []
+                weights, changes = [], []
                 for n, m, old, sums in zip(pdf["n"], pdf["rows"], pdf["weights"], pdf["sums"]):
                     w = np.array(old).reshape(len(settings), m + 1)
                     s = np.asarray(sums).reshape(len(settings), m + 1)
@@ -126,9 +129,13 @@ def score_ocsvm_settings(
                     push = s / (nu * n)
                     grad = np.column_stack([w[:, :m] - push[:, :m], push[:, m] - 1.0])
                     weights.append((w - grad / (step + 1)).ravel())
-                yield pdf.drop(columns="sums").assign(weights=weights)
+                    changes.append(float(np.abs(grad).max() / (step + 1)))
+                yield pdf.drop(columns="sums").assign(weights=weights, change=changes)[models_columns]
 
+        models_columns = models.columns
         models = settle(moved.mapInPandas(descend, models.schema))
+        if (models.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
+            break
 
     def score(x, model):
         phi = coordinates(x, model, kernels)

@@ -243,8 +243,11 @@ def fit_selector(
     """Factor the performance matrix and regress its factors on meta-features.
 
     ``metafeatures`` is long by ``dataset``; ``comparisons`` has dataset, algorithm and
-    auroc. Datasets are numbered by their sorted names for the factorisation.
+    auroc. Datasets are numbered by their sorted names for the factorisation. Rows whose
+    ``part`` (of :func:`leave_one_trial_out`) is not training are left out.
     """
+    if "part" in comparisons.columns:
+        comparisons = comparisons.filter(F.col("part") == "training")
     cells = settle(clean_metafeatures(metafeatures.join(comparisons.select("dataset").distinct(), "dataset", "left_semi")))
     scaling = settle(fit_scaling(cells))
     features = [r["feature"] for r in scaling.select("feature").orderBy("feature").collect()]
@@ -281,6 +284,22 @@ def fit_selector(
     return Selector(scaling, features, model, settle(items), rank)
 
 
+def tune_selector(
+    metafeatures: DataFrame, comparisons: DataFrame, algorithms: list[str], ranks: tuple[int, ...] = (2, 3, 4), **fit
+) -> Selector:
+    """The selector whose rank predicts the validation part best, fitted on the training part."""
+    held = settle(comparisons.filter(F.col("part") == "validation").select("dataset", "algorithm", "auroc"))
+    own = settle(metafeatures.join(held.select("dataset").distinct(), "dataset", "left_semi"))
+    best, least = None, math.inf
+    for rank in ranks:
+        fitted = fit_selector(metafeatures, comparisons, algorithms, rank, **fit)
+        gap = F.col("predicted") - F.coalesce(F.nanvl("auroc", F.lit(0.0)), F.lit(0.0))
+        error = predict_performance([fitted], own).join(held, ["dataset", "algorithm"]).agg(F.avg(gap * gap)).first()[0]
+        if best is None or (error is not None and error < least):
+            best, least = fitted, error if error is not None else math.inf
+    return best
+
+
 def predict_performance(selectors: list[Selector], metafeatures: DataFrame) -> DataFrame:
     """``(dataset, algorithm, predicted)``, averaged over the selectors.
 

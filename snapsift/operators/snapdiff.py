@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,9 +219,12 @@ def compute_table_diff(
     extra_ids: tuple[str, ...] = (),
     max_key_cols: int = config.MAX_KEY_COLS,
     strict: bool = True,
+    check: bool = True,
 ) -> TableDiff:
     """All steps for one pair of raw tables; raises :class:`TableFailure`.
 
+    Without ``check`` the join is not run to see whether there are changes; the caller judges
+    by the cells it stores.
     The key was tested for uniqueness on both sides by :func:`discover_key`, and a key
     survives the left join as it is, so the duplicate guard needs no job of its own.
     """
@@ -238,10 +242,16 @@ def compute_table_diff(
     pre, gold = guards.align_schemas(pre, gold, strict)
     guards.guard_schema_change(pre, gold)
     changes = guards.filter_changes(diff_snapshots(pre, gold, key, gold_only=False))
-    guard_meaningful(changes)
+    if check:
+        guard_meaningful(changes)
+    elif not value_columns(changes):
+        raise TableFailure("NoMeaningfulData")
     return TableDiff(key, pre, changes, salient_cells(changes, key))
 
 
+#: Messages of Spark about plans and results that it can't hold.
+TOO_LARGE = re.compile(r"OutOfMemory|StackOverflow|maxResultSize|grows beyond 64 KB|too large|Cannot grow BufferHolder")
+
 STATUS_SCHEMA = (
     "trial string, snapshot string, table_name string, success boolean, error string, "
     "error_message string, key_cols array<string>, n_rows long, n_cols long, n_diffs long"
@@ -253,16 +263,28 @@ def failure_row(trial: str, snapshot: str, table: str, failure: TableFailure) ->
 
 
 def process_table(
-    study: StudyConfig, snapshot: str, table: str, pre: DataFrame | None, gold: DataFrame | None
+    study: StudyConfig, snapshot: str, table: str, pre: DataFrame | None, gold: DataFrame | None, path: str
 ) -> tuple[TableDiff | None, tuple | None]:
-    """Compare one table: its diff, or its failure row."""
+    """Compare one table and store its long cells at ``path``, in a job of its own.
+
+    Returns its diff, or its failure row. Whatever goes wrong with one table is that table's
+    failure: reading errors, and plans or results too large for Spark.
+    """
     try:
         if table in study.exclude_tables:
             raise TableFailure("ExcludedTable")
         extra = tuple(study.additional_identifiers.get(table, ()))
-        return compute_table_diff(pre, gold, study.id_cols, extra, study.max_key_cols), None
+        result = compute_table_diff(pre, gold, study.id_cols, extra, study.max_key_cols, check=False)
+        cells = long_diff(study.name, snapshot, table, result)
+        cells.write.parquet(path)
+        if cells.sparkSession.read.schema(cells.schema).parquet(path).isEmpty():
+            guard_meaningful(result.changes)  # changed records need not have a changed cell
+        return result, None
     except TableFailure as failure:
         return None, failure_row(study.name, snapshot, table, failure)
+    except (PySparkException, Py4JError) as error:
+        kind = "DataFrameTooLarge" if TOO_LARGE.search(str(error)) else "DataFrameLoadingException"
+        return None, failure_row(study.name, snapshot, table, TableFailure(kind))
 
 
 def text_key(key: list[str]) -> Column:

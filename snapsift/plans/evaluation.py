@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import settle
+from ..functions.skew import small_side
 from ..operators import ensemble, metrics, selector
 from ..operators.detectors import pool
 from .study import union_all
@@ -20,22 +21,36 @@ def evaluate_detectors(records: DataFrame, grid: dict = pool.DEFAULT_GRID) -> Da
 
 def score_with_selector(
     records: DataFrame, selectors: list[selector.Selector], scores: DataFrame | None = None,
-    metafeatures: DataFrame | None = None, k: int = 1,
+    metafeatures: DataFrame | None = None, k: int = 1, grid: dict = pool.DEFAULT_GRID,
 ) -> DataFrame:
     """Scores of the chosen setting(s), for all datasets in one batch.
 
-    Meta-features and detector scores are computed when they are not given.
+    The choice comes first: without given ``scores``, each detector runs only on the datasets
+    that chose it. Meta-features are computed when they are not given.
     """
     if metafeatures is None:
         metafeatures = selector.meta_features_stats(records)
-    if scores is None:
-        scores = pool.score_all(records).drop("params")
     chosen = settle(selector.top_models(selector.predict_performance(selectors, metafeatures), k))
+    if scores is None:
+        scores = score_chosen(records, chosen, grid)
     if k == 1:
         return ensemble.selected_model_scores(scores, chosen)
     return ensemble.topk_ensemble(scores, chosen)
 
 
+def score_chosen(records: DataFrame, chosen: DataFrame, grid: dict = pool.DEFAULT_GRID) -> DataFrame:
+    """``(dataset, rec_id, algorithm, score)`` of the chosen (dataset, algorithm) pairs."""
+    names = [r[0] for r in chosen.select("algorithm").distinct().orderBy("algorithm").collect()]  # algorithms of the grid
+    parts = []
+    for name in names:
+        datasets = small_side(settle(chosen.filter(F.col("algorithm") == name).select("dataset").distinct()))
+        own = settle(records.join(datasets, "dataset", "left_semi"))
+        parts.append(pool.score_all(own, {name: grid[name]}).drop("params"))
+    if not parts:
+        return records.sparkSession.createDataFrame([], "dataset string, rec_id long, algorithm string, score double")
+    return union_all(parts)
+
+
 def demo_training(comparisons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Meta-features and performance of a comparison table, by dataset name."""
     named = comparisons.withColumn("dataset", selector.dataset_name())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..config import StudyConfig, TableFailure
-from ..functions.runtime import settle
+from ..functions.runtime import scratch_path, settle
 from ..functions.skew import small_side
 from ..operators import guards, labels, snapdiff
 from ..sources import tables as src
@@ -42,24 +42,27 @@ def study_diff(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compare every table of every preliminary snapshot.
 
-    Returns ``(cells, status, records)``: the long salient diff of all tables, settled in
-    one job; one status row per (snapshot, table); and the lazy records. Only the counts
-    of the key searches reach the driver; the searches of different tables are submitted
-    side by side, so that small tables fill the gaps of large ones.
+    Returns ``(cells, status, records)``: the long salient diff of all tables; one status row
+    per (snapshot, table); and the lazy records. Each table is joined once, in a job that
+    stores its cells; its failure is a status row and leaves the others alone. Only counts
+    reach the driver. Tables are submitted side by side, so that small ones fill the gaps of
+    large ones.
     """
+    root = scratch_path(spark, "cells")
     work = [(s, t, pre) for s, pre_tables in snapshots.items() for t, pre in pre_tables.items()]
     with ThreadPoolExecutor(max_workers=threads) as submit:
-        done = list(submit.map(lambda w: snapdiff.process_table(study, w[0], w[1], w[2], gold.get(w[1])), work))
+        done = list(submit.map(
+            lambda w: snapdiff.process_table(study, *w[1], gold.get(w[1][1]), f"{root}/{w[0]:05d}"), enumerate(work)))
     cells, records, outcomes = [], [], []
-    for (snapshot, table, _), (result, failure) in zip(work, done):
+    for i, ((snapshot, table, _), (result, failure)) in enumerate(zip(work, done)):
         if failure:
             outcomes.append(failure)
             continue
         outcomes.append(snapdiff.success_row(study.name, snapshot, table, result))
-        cells.append(snapdiff.long_diff(study.name, snapshot, table, result))
+        cells.append(f"{root}/{i:05d}")
         records.append(study_records(study.name, snapshot, table, result))
     # without any success the failure rows are the result, beside empty frames
-    cells = settle(union_all(cells)) if cells else spark.createDataFrame([], CELLS_SCHEMA)
+    cells = spark.read.schema(CELLS_SCHEMA).parquet(*cells) if cells else spark.createDataFrame([], CELLS_SCHEMA)
     records = union_all(records) if records else spark.createDataFrame([], RECORDS_SCHEMA)
     outcomes = spark.createDataFrame(outcomes, snapdiff.STATUS_SCHEMA)
     return cells, settle(snapdiff.table_status(outcomes, cells, records)), records

@@ -15,11 +15,17 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of a settled table: eight bytes per value, text and array lengths counted."""
+    """Size of a settled table: eight bytes per value, text and array lengths counted.
+
+    Structs, maps and nested arrays count by their length as JSON, which is no less.
+    """
     cells = F.lit(0)
     for field in df.schema.fields:
         kind = field.dataType.typeName()
-        if kind == "array":
+        element = getattr(field.dataType, "elementType", None)
+        if kind in ("struct", "map") or (element is not None and element.typeName() in ("struct", "map", "array", "string")):
+            cells = cells + F.coalesce(F.length(F.to_json(F.col(f"`{field.name}`"))), F.lit(0)) + 16
+        elif kind == "array":
             cells = cells + F.coalesce(F.size(field.name), F.lit(0)) * 8
         elif kind == "string":
             cells = cells + F.coalesce(F.length(field.name), F.lit(0)) + 16

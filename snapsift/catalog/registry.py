@@ -37,3 +37,8 @@ def shared(spark: SparkSession, sf: str, name: str, build):
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]
+
+
+def forget_shared() -> None:
+    """Let the next query build its plans anew."""
+    _SHARED.clear()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -25,9 +27,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named or current
 
 
+#: Scratch folders of this process, with their sessions.
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder; its folder is deleted when the driver ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(drop_scratch)
+    _scratch.append((spark, folder))
+    return f"{folder}/{name}"
+
+
+def drop_scratch() -> None:
+    """Delete the scratch folders of this process; frames that read them can't be used any more."""
+    while _scratch:
+        spark, folder = _scratch.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ Equal sets are one node. The join has three steps.
    a batch, then over the corpus. Nothing emits pairs within a bucket.
 2. The candidate links make groups that can't be linked with each other. Only sets in groups are
    moved on, each once.
-3. In each group, sets are stored in a trie and every set traverses it: overlaps are counted along
-   shared prefixes, subtrees are cut when the remaining lengths can't reach the threshold, and
-   sets already in one component are passed over. Groups of more than ``BLOCK`` sets are first
+3. In each group, sets are stored in a trie and all sets traverse it together: overlaps are counted
+   once along shared prefixes, and a set leaves a subtree when the remaining lengths can't reach
+   the threshold. Groups of more than ``BLOCK`` sets are first
    compared with one of their sets; only the sets that don't link with it are joined, block by
    block, with the group.
 
@@ -36,13 +36,13 @@ from ..functions.runtime import store
 from ..functions.skew import small_side
 from .components import connected_components
 from .registry import query, table
-from .words import SPACED, combine, mix, pieces, window_hashes
+from .words import SPACED, combine, mix, pieces, slices, window_hashes
 
 SHINGLE = 4
 #: Percent of the union that the intersection of linked sets has at least.
 PERCENT = 85
 #: Sets of a group that are joined in one trie.
-BLOCK = 256
+BLOCK = 512
 
 
 def _size_class(n: int) -> tuple[int, int]:
@@ -131,7 +131,7 @@ def _first_of_each(group: np.ndarray, node: np.ndarray):
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: a row per document, a row per distinct bucket, and links within the batch."""
-    for batch in batches:
+    for batch in slices(batches, 2):
         sets = list(shingle_sets(batch.column(2)))
         n = np.array([len(s) for s in sets], np.int64)
         keys = [set_key(s) if len(s) else None for s in sets]
@@ -186,11 +186,11 @@ def _linked(overlap: int, n: int, m: int) -> bool:
 
 
 class _Node:
-    __slots__ = ("path", "children", "sets", "least_n", "rest", "count", "only")
+    __slots__ = ("path", "children", "sets", "least_n", "rest")
 
     def __init__(self, path: np.ndarray):
         self.path, self.children, self.sets = path, {}, []
-        self.least_n, self.rest, self.count, self.only = 1 << 62, 0, 0, -1
+        self.least_n, self.rest = 1 << 62, 0
 
 
 class Trie:
@@ -204,7 +204,7 @@ class Trie:
         node, at, n = self.root, 0, len(shingles)
         self.sizes[number] = n
         while True:
-            node.least_n, node.rest, node.count, node.only = min(node.least_n, n), max(node.rest, n - at), node.count + 1, number
+            node.least_n, node.rest = min(node.least_n, n), max(node.rest, n - at)
             if at == n:
                 node.sets.append(number)
                 return
@@ -221,39 +221,75 @@ class Trie:
                     upper = _Node(child.path[:shared])
                     upper.children[int(child.path[shared])] = child
                     upper.least_n, upper.rest = child.least_n, child.rest + len(child.path) - shared
-                    upper.count, upper.only = child.count, child.only
                     child.path = child.path[shared:]
                     node.children[head] = child = upper
                 at += shared
             node = child
 
-    def partners(self, shingles: np.ndarray, passed) -> Iterator[int]:
-        """Stored sets linked with ``shingles``; ``passed(number)`` tells which need no answer."""
-        n = len(shingles)
-        stack = [(self.root, 0, 0)]
+    def partners(self, probes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """For each stored set, the positions of the probes that are linked with it, if any.
+
+        All probes walk the trie together: a node adds its path's overlap to each probe that is
+        still in reach, and those that can't reach the threshold any more stay behind.
+        """
+        n = np.array([len(s) for s in probes], np.int64)
+        words, place = np.unique(np.concatenate(probes), return_inverse=True)
+        holds = np.zeros((len(words), len(probes)), np.uint8)
+        holds[place, np.repeat(np.arange(len(probes)), n)] = 1
+        used_by = np.zeros((len(words) + 1, len(probes)), np.int32)
+        np.cumsum(holds, axis=0, out=used_by[1:])
+        stack = [(self.root, np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64))]
         while stack:
-            node, overlap, used = stack.pop()
-            if node.count == 1 and passed(node.only):
-                continue
-            need = -(-PERCENT * (n + node.least_n) // (100 + PERCENT))
-            if overlap + min(n - used, node.rest + len(node.path)) < need:
+            node, alive, overlap, used = stack.pop()
+            need = -(-PERCENT * (n[alive] + node.least_n) // (100 + PERCENT))
+            near = overlap + np.minimum(n[alive] - used, node.rest + len(node.path)) >= need
+            alive, overlap, need = alive[near], overlap[near], need[near]
+            if not len(alive):
                 continue
             if len(node.path):
-                at = np.searchsorted(shingles[used:], node.path)
-                at = at[at < n - used] + used
-                overlap += int((shingles[at] == node.path[:len(at)]).sum())
-                used = int(np.searchsorted(shingles, node.path[-1], "right"))
-                if overlap + min(n - used, node.rest) < need:
+                at = np.searchsorted(words, node.path)
+                known = at < len(words)
+                at = at[known][words[at[known]] == node.path[known]]
+                overlap = overlap + holds[at][:, alive].sum(axis=0, dtype=np.int64)
+                used = used_by[np.searchsorted(words, node.path[-1], "right"), alive]
+                near = overlap + np.minimum(n[alive] - used, node.rest) >= need
+                alive, overlap, used = alive[near], overlap[near], used[near]
+                if not len(alive):
                     continue
+            else:
+                used = used[near]
             for number in node.sets:
-                if not passed(number) and _linked(overlap, n, self.sizes[number]):
-                    yield number
-            stack.extend((child, overlap, used) for child in node.children.values())
+                union = n[alive] + self.sizes[number] - overlap
+                linked = alive[100 * overlap >= PERCENT * union]
+                if len(linked):
+                    yield number, linked
+            stack.extend((child, alive, overlap, used) for child in node.children.values())
 
 
-def join_group(sets: list[np.ndarray]) -> list[int]:
-    """The smallest member of each set's component, by position."""
-    root = list(range(len(sets)))
+#: Cells of the tables with which probes walk a trie; more probes walk in turns.
+WALK_CELLS = 1 << 24
+
+
+def trie_links(probes: list[np.ndarray], stored: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Positions (probe, stored) of linked sets."""
+    trie = Trie()
+    for i, shingles in enumerate(stored):
+        trie.insert(i, shingles)
+    first = 0
+    while first < len(probes):
+        last, words = first, 0
+        while last < len(probes) and (last == first or (words + len(probes[last])) * (last + 1 - first) <= WALK_CELLS):
+            words += len(probes[last])
+            last += 1
+        for number, linked in trie.partners(probes[first:last]):
+            for i in linked.tolist():
+                yield first + i, number
+        first = last
+
+
+def spanning(links: Iterator[tuple[int, int]], size: int) -> list[int]:
+    """For positions below ``size``, the smallest one that links connect each with."""
+    root = list(range(size))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -261,13 +297,16 @@ def join_group(sets: list[np.ndarray]) -> list[int]:
             i = root[i]
         return i
 
-    trie = Trie()
-    for i, shingles in enumerate(sets):
-        for j in trie.partners(shingles, lambda j, i=i: find(j) == find(i)):
-            a, b = sorted((find(i), find(j)))
-            root[b] = a
-        trie.insert(i, shingles)
-    return [find(i) for i in range(len(sets))]
+    for i, j in links:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(size)]
+
+
+def join_group(sets: list[np.ndarray]) -> list[int]:
+    """The smallest member of each set's component, by position."""
+    return spanning(trie_links(sets, sets), len(sets))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
@@ -300,16 +339,13 @@ def _join_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the sets of a block that are left (side 0) and those of a block of the group (side 1)."""
+    """Links that connect the sets of a block that are left (side 0) and of a block of the group (side 1)."""
     for _, rows in _groups(batches):
         left = {node: s for side, node, s in rows if side == 0}
         right = {node: s for side, node, s in rows if side == 1}
-        names, trie, found = list(right), Trie(), []
-        for i, shingles in enumerate(right.values()):
-            trie.insert(i, shingles)
-        for node, shingles in left.items():
-            found += [(node, names[j]) for j in trie.partners(shingles, lambda j, node=node: names[j] == node)]
-        yield _links(found)
+        names = [*left, *right]
+        found = ((i, len(left) + j) for i, j in trie_links(list(left.values()), list(right.values())))
+        yield _links([(names[i], names[r]) for i, r in enumerate(spanning(found, len(names))) if i != r])
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

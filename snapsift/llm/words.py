@@ -111,6 +111,17 @@ def pieces(column: pa.Array, is_word: np.ndarray, most: int = PIECE_BYTES) -> It
         first = last
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a text column has about ``most`` bytes in each; bounds what is built from one."""
+    for batch in batches:
+        offsets, _ = text_bytes(batch.column(column))
+        first = 0
+        while first < len(batch):
+            last = max(int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1, first + 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each byte range, alike wherever it stands; A-Z may count as a-z."""
     keys = _LOWER_KEYS if lower else _BYTE_KEYS

@@ -94,18 +94,18 @@ def test_empty(empty):
     assert j.jaccard_components(empty).count() == 0 and j.keep_first(empty).count() == 0
 
 
-def test_trie_finds_what_sets_say():
+def test_trie_finds_what_sets_say(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     sets = []
     for _ in range(60):
         keep = base[rng.random(60) < rng.choice([0.6, 0.95, 1.0])]
         sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 6)), dtype=np.uint64)])))
-    trie = j.Trie()
-    for i, s in enumerate(sets):
-        want = {k for k in range(i) if 100 * len(np.intersect1d(s, sets[k])) >= 85 * len(np.union1d(s, sets[k]))}
-        assert set(trie.partners(s, lambda _: False)) == want
-        trie.insert(i, s)
+    want = {(a, b) for a in range(60) for b in range(60) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    for cells in (j.WALK_CELLS, 500):
+        monkeypatch.setattr(j, "WALK_CELLS", cells)
+        found = list(j.trie_links(sets, sets))
+        assert set(found) == want and len(found) == len(want)
 
 
 def test_every_linked_pair_shares_a_bucket():

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -46,7 +47,7 @@ def in_duckdb():
 
 
 def _plain(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return None
     return float(v) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind in "iuf" or isinstance(v, int) and not isinstance(v, bool) else v
 

@@ -28,11 +28,12 @@ def report(docs, benchmark):
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-# The SQL joins by doc_id, so rows with clashing or null ids are checked apart.
+# The SQL joins by doc_id and copies a text for each of its words: clashing and null ids and very
+# long texts are checked apart.
 @pytest.mark.parametrize("block", [d.BLOCK_BYTES, 60])
 def test_like_sql(docs, benchmark, in_duckdb, same_rows, monkeypatch, block):
     monkeypatch.setattr(d, "BLOCK_BYTES", block)
-    alone = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).cache()
+    alone = docs.filter("doc_id is not null and coalesce(length(text), 0) < 9999").dropDuplicates(["doc_id"]).cache()
     same_rows(report(alone, benchmark).toPandas(), in_duckdb(d._SQL, documents=alone.toPandas(), benchmark=benchmark.toPandas()))
 
 
@@ -42,9 +43,8 @@ def test_removes_affected_documents(docs, benchmark, monkeypatch, block):
     left = d.decontaminate(docs, benchmark)
     assert left.columns == docs.columns
     ids = sorted(str(r.doc_id) for r in left.collect())
-    gone = {"20", "21", "23", "26"}
-    assert ids == sorted(set(str(r.doc_id) for r in docs.collect()) - gone) + [] or len(ids) == docs.count() - 5
-    assert not gone & set(ids)
+    gone = {"20", "21", "23", "26"}  # and one of the two rows 25
+    assert len(ids) == docs.count() - 5 and not gone & set(ids)
 
 
 def test_longest_match(spark, benchmark):

@@ -77,7 +77,7 @@ def test_odd_rows(spark, odd):
 def test_like_sql_alone(odd, in_duckdb, same_rows):
     from pyspark.sql import functions as F
 
-    alone = odd.filter("doc_id is not null").dropDuplicates(["doc_id"]).cache()
+    alone = odd.filter("doc_id is not null and coalesce(length(text), 0) < 9999").dropDuplicates(["doc_id"]).cache()
     ours = j.jaccard_components(alone).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
     same_rows(ours.toPandas(), in_duckdb(j._SQL, documents=alone.toPandas()))
 

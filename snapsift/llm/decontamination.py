@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .words import ALNUM, pieces
+from .words import ALNUM, lean, pieces, slices
 
 #: Words of a window.
 WINDOW = 10
@@ -36,6 +36,8 @@ WINDOW = 10
 BLOCK_BYTES = 32 << 20
 #: Words of runs in a shard's suffix array, about.
 SHARD_WORDS = 1 << 20
+#: Bytes of documents in a shard, about.
+SHARD_BYTES = 16 << 20
 
 FINDINGS = "n_words long, hit array<int>, items array<string>, longest int"
 
@@ -247,7 +249,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = part.orderBy("item_id", "text").collect()  # at most about BLOCK_BYTES, by the sum above
         shared = spark.sparkContext.broadcast(read_benchmark([r[0] for r in rows], [r[1] for r in rows]))
-        out.append(kept.mapInArrow(_finder(shared), schema))
+        out.append(kept.mapInArrow(lean(_finder(shared)), schema))
     return out
 
 
@@ -264,17 +266,16 @@ def _finder(shared):
                 names = [*batch.schema.names, "n_words", "hit", "items", "longest"]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names)
 
-        shard, kept = Shard(shared.value), []
-        read = 0
-        for batch in batches:
+        shard, kept, held = Shard(shared.value), [], 0
+        for batch in slices(batches, -1):
             text = batch.column(batch.num_columns - 1)
             for piece in pieces(text, ALNUM):
                 shard.add(piece, [None] * piece.n_texts)
             kept.append(batch.select(range(batch.num_columns - 1)))
-            read += len(batch)
-            if shard.size >= SHARD_WORDS or read >= 100_000:
+            held += batch.nbytes
+            if shard.size >= SHARD_WORDS or held >= SHARD_BYTES:
                 yield from flush(shard, kept)
-                shard, kept, read = Shard(shared.value), [], 0
+                shard, kept, held = Shard(shared.value), [], 0
         yield from flush(shard, kept)
 
     return find

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .words import ALNUM, pieces
+from .words import ALNUM, lean, pieces
 
 FIT_PAGES, VARIANTS = 250, 3
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 12, 32, 0.01, 11
@@ -407,7 +407,7 @@ def extract_text(pages: DataFrame, model: BlockLabeller) -> DataFrame:
                 )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(extract), f"page_id {kind}, url string, text string, n_chars long")
 
 
 @query("op7_html_text")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import small_side
 from .registry import query, table
-from .words import PIECE_BYTES, text_bytes
+from .words import PIECE_BYTES, lean, text_bytes
 
 FIT_PER_LANG, MOST_FIT = 400, 4000
 LANDMARKS = 256
@@ -154,7 +154,7 @@ def fit_languages(docs: DataFrame) -> KernelRidge:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = chosen.select("lang", "doc_id", "text").mapInArrow(present, f"lang string, doc_id {kind}, codes array<int>").toArrow()
+    rows = chosen.select("lang", "doc_id", "text").mapInArrow(lean(present), f"lang string, doc_id {kind}, codes array<int>").toArrow()
     order = sorted(range(len(rows)), key=lambda i: (str(rows["doc_id"][i].as_py()), rows["lang"][i].as_py(), len(rows["codes"][i])))
     return KernelRidge([rows["lang"][i].as_py() for i in order], [rows["codes"][i].values.to_numpy() for i in order])
 
@@ -176,7 +176,7 @@ def identify_languages(docs: DataFrame, model: KernelRidge, carry: list[str] | N
 
     kept = docs.select(*carry, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in carry)
-    return kept.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return kept.mapInArrow(lean(predict), f"{kinds}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .words import ALNUM, LOWER, Piece, pieces, window_starts, word_hashes
+from .words import ALNUM, LOWER, Piece, lean, pieces, window_starts, word_hashes
 
 #: Phrases that give base labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -108,7 +108,7 @@ def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
                 total[-1] += piece.n_texts
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(vocabulary.words) + 1, np.int64)
     for word, n in rows:  # one row per licence word
         counts[word] = n
@@ -213,7 +213,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, {SCAN}")
+    return docs.select("doc_id", "text").mapInArrow(lean(scan), f"doc_id {kind}, {SCAN}")
 
 
 @query("op6_license_scan")

@@ -36,7 +36,7 @@ from ..functions.runtime import store
 from ..functions.skew import small_side
 from .components import connected_components
 from .registry import query, table
-from .words import SPACED, combine, mix, pieces, slices, window_hashes
+from .words import SPACED, combine, lean, mix, pieces, slices, window_hashes
 
 SHINGLE = 4
 #: Percent of the union that the intersection of linked sets has at least.
@@ -362,7 +362,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     rows = docs.select("doc_id", "text").join(small_side(wanted), "doc_id").select("root", "node", "text")
-    return rows.mapInArrow(build, "root long, node long, shingles array<long>")
+    return rows.mapInArrow(lean(build), "root long, node long, shingles array<long>")
 
 
 def _join_large(large: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def _join_large(large: DataFrame, sizes: DataFrame) -> DataFrame:
         F.lit(1).alias("side"), "node", "shingles",
     )
     pairs = left.unionByName(whole).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")
-    return near.union(pairs.mapInArrow(_join_blocks, "a long, b long"))
+    return near.union(pairs.mapInArrow(lean(_join_blocks), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -403,12 +403,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     emitted = store(
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        .mapInArrow(_emit, f"doc_id {kind}, text_hash long, n long, node long, bucket long, least long")
+        .mapInArrow(lean(_emit), f"doc_id {kind}, text_hash long, n long, node long, bucket long, least long")
     )
     rows = emitted.filter("n is not null").select("doc_id", "text_hash", "n", "node")
     hung = (
         emitted.filter("bucket is not null").select("bucket", "node").repartition("bucket")
-        .sortWithinPartitions("bucket", "node").mapInArrow(_hang, "a long, b long")
+        .sortWithinPartitions("bucket", "node").mapInArrow(lean(_hang), "a long, b long")
     )
     near = emitted.filter("least is not null").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = store(connected_components(hung.union(near)))
@@ -420,7 +420,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sizes = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("n_sets"), F.min("node").alias("pivot"))
     big = store(sizes.filter(F.col("n_sets") > BLOCK))
     small = sets.join(small_side(big.select("root")), "root", "left_anti")
-    found = small.select("root", F.lit(0).alias("side"), "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_join_small, "a long, b long")
+    found = small.select("root", F.lit(0).alias("side"), "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(lean(_join_small), "a long, b long")
     if not big.isEmpty():
         found = found.union(_join_large(sets.join(small_side(big.select("root")), "root", "left_semi"), big))
     linked = connected_components(found)

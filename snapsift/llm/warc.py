@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from ..functions.runtime import scratch_path, settle
 from ..functions.skew import small_side
 from .registry import query, table
+from .words import lean
 
 #: Payload bytes in a row of the record table, and read at once.
 CHUNK_BYTES = 1 << 20
@@ -181,7 +182,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
             ["path", "n_records", "n_bytes"],
         )
 
-    return settle(decided.mapInArrow(write, MANIFEST))
+    return settle(decided.mapInArrow(lean(write), MANIFEST))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield packed(rows)
 
     files = manifest.count()  # stored rows, one per file
-    return manifest.select("path").repartition(max(files, 1)).mapInArrow(read, RECORDS)
+    return manifest.select("path").repartition(max(files, 1)).mapInArrow(lean(read), RECORDS)
 
 
 _SQL = r"""

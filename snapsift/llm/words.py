@@ -7,6 +7,8 @@ Two different words share a hash with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -122,6 +124,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20)
             first = last
 
 
+def lean(function):
+    """The function of a task, giving the memory that its batches took back to the system at the end.
+
+    Python workers live on between stages, beside the executor's heap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each byte range, alike wherever it stands; A-Z may count as a-z."""
     keys = _LOWER_KEYS if lower else _BYTE_KEYS

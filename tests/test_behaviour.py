@@ -54,7 +54,7 @@ def test_failure_kinds(spark, base):
     assert kind(lambda: src.valid_tables(None)) == "MetadataUnavailable"
     assert kind(lambda: src.read_snapshot_table(spark, "/nonexistent/path")) == "DataFrameLoadingException"
     study = StudyConfig("s", "", "g", ("p",), exclude_tables=("t",))
-    assert snapdiff.process_table(study, "p", "t", base, base)[1][4] == "ExcludedTable"
+    assert snapdiff.process_table(study, "p", "t", base, base, "unused")[1][4] == "ExcludedTable"
 
 
 def test_align_only_when_counts_differ(base):

@@ -139,11 +139,11 @@ def test_detectors_on_copies_match_brute_force(spark):
     x, ids, d, near = brute(records, k)
     kd = {i: d[i, near[i][-1]] for i in near}
     lrd = {i: 1 / (np.mean([max(kd[j], d[i, j]) for j in near[i]]) + 1e-10) for i in near}
-    ac = {i: neighbors.chain_distance(x[i], x[near[i]]) for i in near}
+    ac = {i: neighbors.chain_distances(x[i][None], x[near[i]][None], [len(near[i])])[0, 0] for i in near}
     expected = {
         "knn": {i: np.median([d[i, j] for j in near[i]]) for i in near},
         "lof": {i: np.mean([lrd[j] for j in near[i]]) / lrd[i] for i in near},
-        "abod": {i: neighbors.angle_variance(x[i], x[near[i]]) for i in near},
+        "abod": {i: neighbors.angle_variances(x[i][None], x[near[i]][None], [len(near[i])])[0, 0] for i in near},
     }
     got = {
         "knn": neighbors.score_knn(records, k, "median"), "lof": neighbors.score_lof(records, k),
@@ -164,4 +164,4 @@ def test_chain_distance_by_hand():
     p, v = np.array([0.0]), np.array([[1.0], [3.0], [-1.5]])
     # steps: 1 (to 1), then 1.5 (to -1.5, from 0), then 2 (to 3, from 1)
     weights = [2 * (4 - i) / 12 for i in (1, 2, 3)]
-    assert neighbors.chain_distance(p, v) == pytest.approx(np.dot(weights, [1.0, 1.5, 2.0]))
+    assert neighbors.chain_distances(p[None], v[None], [len(v)])[0, 0] == pytest.approx(np.dot(weights, [1.0, 1.5, 2.0]))

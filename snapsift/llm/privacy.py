@@ -1,14 +1,15 @@
 """Operator 5: information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Addresses, numbers and cards found by pattern are the protected entities. Words within
-``CONTEXT_CHARS`` of an entity are candidate terms. Over the whole corpus, the documents of an
+Addresses, numbers and cards found by pattern are the protected entities. The words of their
+documents that no entity covers are candidate terms. Over the whole corpus, the documents of an
 entity (c), a term (t) and both are counted. A term discloses an entity if its pointwise mutual
 information reaches a share ``ALPHA`` of the entity's information content,
 
     log p(c|t) / p(c) >= -ALPHA * log p(c)   or   log p(c|t) >= (1 - ALPHA) * log p(c),
 
-and at least ``LEAST_TOGETHER`` documents hold both. Such a term is a span beside its entity;
-``sanitise`` replaces entities by their kind and terms by a general word.
+and at least ``LEAST_TOGETHER`` documents hold both. Such a term is a span at all its places, in
+documents without the entity too; ``sanitise`` replaces entities by their kind and terms by a
+general word.
 
 Patterns are possessive and look behind, so that long runs cost linear time; they find what the
 plain patterns in the comments find. Defined results: null text has no spans and stays null;
@@ -28,8 +29,6 @@ from .registry import query, table
 #: Kinds in the order of reports.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Characters on either side of an entity whose words are candidate terms.
-CONTEXT_CHARS = 48
 #: Share of an entity's information that a term may disclose.
 ALPHA = 0.75
 LEAST_TOGETHER = 3
@@ -46,6 +45,8 @@ _PATTERNS = {
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _WORD = r"[\p{L}\p{N}]+"
+#: A stretch of text that ends with a word's end, so that long texts cost linear time.
+_PART = r"(?s).{1,250}+[\p{L}\p{N}]*+"
 
 
 def _located(text: Column, pattern: str, present: Column) -> Column:
@@ -108,50 +109,66 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _placed(words: Column, begin: Column, span: Column) -> Column:
-    return F.transform(words, lambda w: F.struct(
-        (begin + w["start"]).alias("start"), (begin + w["end"]).alias("end"), F.lower(w["value"]).alias("term"),
-        F.concat_ws(":", span["kind"], F.lower(span["value"])).alias("entity"),
-    ))
+def _overlap(spans: Column, x: Column) -> Column:
+    return F.exists(spans, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
+
+
+def free_words(text: Column, spans: Column) -> Column:
+    """Words that no span covers: (start, end, term)."""
+    def parts(doc: Column) -> Column:
+        return F.transform(_located(doc["text"], _PART, F.length(doc["text"]) > 0), lambda c: F.struct(
+            c["start"].alias("start"), c["value"].alias("value"),
+            F.filter(doc["spans"], lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])).alias("spans"),
+        ))
+
+    def words(part: Column) -> Column:
+        placed = F.transform(_located(part["value"], _WORD, F.lit(True)), lambda w: F.struct(
+            (part["start"] + w["start"]).alias("start"), (part["start"] + w["end"]).alias("end"), F.lower(w["value"]).alias("term"),
+        ))
+        return F.filter(placed, lambda w: ~_overlap(part["spans"], w))
+
+    # As an element of an array the spans are found once; inlined in a lambda, they were in each part.
+    docs = F.array(F.struct(text.alias("text"), spans.alias("spans")))
+    return F.flatten(F.transform(docs, lambda doc: F.flatten(F.transform(parts(doc), words))))
+
 
+def _plain_words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))), lambda w: F.lower(w)))
 
-def _context_terms(text: Column, spans: Column) -> Column:
-    """Words near each span that no span covers: (start, end, term, entity)."""
-
-    def near(span: Column) -> Column:
-        low = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-        sides = []
-        for begin, part in (
-            (low, F.substr(text, low + 1, span["start"] - low)),
-            (span["end"], F.substr(text, span["end"] + 1, F.lit(CONTEXT_CHARS))),
-        ):
-            sides.append(_placed(_located(part, _WORD, F.length(part) > 0), begin, span))
-        first, last = low, span["end"] + CONTEXT_CHARS
-        # A word that the context cuts through is not a word of it.
-        whole = lambda w: ((w["start"] > first) | (first == 0)) & (w["end"] < last)
-        free = lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
-        return F.filter(F.concat(*sides), lambda w: whole(w) & free(w))
-
-    return F.flatten(F.transform(spans, near))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term) pairs above the disclosure threshold, from the terms of ``found`` and all of ``docs``."""
-    pairs = found.select(F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term")))))).select("col.*")
-    together = store(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= LEAST_TOGETHER))
-    entities = (
-        found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
-        .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+
+def _terms(text: Column, spans: Column) -> Column:
+    """The distinct free words; without spans all words are, and no places are needed."""
+    placed = F.transform(free_words(text, spans), lambda w: w["term"])
+    return F.when(F.size(spans) > 0, F.array_distinct(placed)).otherwise(_plain_words(text))
+
+
+def disclosing_terms(based: DataFrame) -> DataFrame:
+    """(entity, term) pairs above the disclosure threshold, from ``text`` and ``_spans`` of all documents.
+
+    A pair passes only with n_term <= n_both / p(c) ** (1 - ALPHA) and n_both <= n_entity, so pairs
+    are made of the entities and terms alone whose own counts allow it.
+    """
+    found = store(based.filter(F.size("_spans") > 0).select(
+        F.monotonically_increasing_id().alias("row"), _terms(F.col("text"), F.col("_spans")).alias("terms"),
+        F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("entities"),
+    ))
+    n_docs = max(based.count(), 1)
+    held = found.select("row", F.explode("entities").alias("entity"))
+    entities = store(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= LEAST_TOGETHER))
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    possible = lambda n_both, n_entity: F.log(n_both / F.col("n_term")) >= (1 - ALPHA) * F.log(n_entity / F.lit(n_docs))
+    # Words of too few documents with an entity, or of too many documents, can't pass.
+    near = found.select("row", F.explode("terms").alias("term"))
+    candidates = store(near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TOGETHER).select("term"))
+    words = based.select(F.explode(_terms(F.col("text"), F.col("_spans"))).alias("term"))
+    counts = store(
+        words.join(small_side(candidates), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+        .filter(possible(F.lit(most), F.lit(most)))
     )
-    terms = together.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    # Only words that are candidates are counted, so next to nothing is shuffled.
-    counts = words.join(small_side(store(terms)), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    both = held.join(small_side(entities), "entity").join(near.join(small_side(counts), "term"), "row").filter(possible(F.col("n_entity"), F.col("n_entity")))
     return (
-        together.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))  # one row
-        .filter(F.log(F.col("n_both") / F.col("n_term")) >= (1 - ALPHA) * F.log(F.col("n_entity") / F.col("n_docs")))
-        .select("entity", "term")
+        both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+        .filter((F.col("n_both") >= LEAST_TOGETHER) & possible(F.col("n_both"), F.col("n_entity"))).select("entity", "term")
     )
 
 
@@ -159,21 +176,23 @@ def annotate(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` as ``_row``, with all its ``spans`` (start, rank, kind, end)."""
     keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
     based = keyed.withColumn("_spans", F.coalesce(base_spans(F.col("text")), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")))
-    found = store(
-        based.filter(F.size("_spans") > 0)
-        .select("doc_id", "_hash", F.col("_spans").alias("spans"), _context_terms(F.col("text"), F.col("_spans")).alias("terms"))
+    disclosing = store(disclosing_terms(based).select("term").distinct())
+    # Places are only looked for in documents that hold such a term.
+    holders = store(
+        based.select("doc_id", "_hash", F.explode(_plain_words(F.col("text"))).alias("term")).join(small_side(disclosing), "term", "left_semi")
+        .select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).distinct()
     )
-    disclosing = store(disclosing_terms(docs, found))
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
     flagged = (
-        found.select("doc_id", "_hash", F.explode("terms").alias("t"))
-        .select("doc_id", "_hash", "t.*").join(small_side(disclosing), ["entity", "term"], "left_semi")
+        based.join(small_side(holders), here, "left_semi").select("doc_id", "_hash", F.explode(free_words(F.col("text"), F.col("_spans"))).alias("t"))
+        .select("doc_id", "_hash", "t.*").join(small_side(disclosing), "term", "left_semi")
         .groupBy("doc_id", "_hash")
         .agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), "end")).alias("_terms"))
     )
     flagged = small_side(store(flagged.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "_terms")))
     plain = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return based.join(flagged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left").select(
+    return based.join(flagged, here, "left").select(
         "_row", F.array_sort(F.concat(plain, F.coalesce("_terms", none))).alias("spans")
     )
 

@@ -70,3 +70,44 @@ def test_disclosing_terms(spark):
 
 def test_empty(empty):
     assert p.annotate(empty).count() == 0 and p.sanitise(empty).count() == 0
+
+
+def test_terms_far_from_the_entity_and_in_other_documents(spark):
+    # "zorro" stands a paragraph away from the address, and once in a document without it.
+    gap = " the" * 400
+    rows = [(i, f"Zorro{gap} mail x@y.de{gap} ZORRO") for i in range(5)] + [(5, "the zorro, alone"), (5, "the zorro, alone")]
+    rows += [(i, f"the mail of other{i} text zorros") for i in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = p.annotate(docs).collect()
+    terms = {r._row.doc_id: [r._row.text[s.start:s.end] for s in r.spans if s.kind == p.TERM] for r in found}
+    assert len(found) == len(rows) and all(terms[i] == ["Zorro", "ZORRO"] for i in range(5)) and terms[5] == ["zorro"]
+    assert not any(terms[i] for i in range(10, 400))
+    clean = p.sanitise(docs).filter("doc_id <= 5").collect()
+    assert len(clean) == 7 and not any("zorro" in r.text.lower() for r in clean)
+
+
+def test_pairs_like_all_pairs(spark):
+    import math
+    import random
+
+    rng, rows = random.Random(2), []
+    for i in range(300):
+        words = [f"w{min(rng.randrange(1, 200), rng.randrange(1, 200))}" for _ in range(25)]
+        words += [f"é{k}.u{k}@h.org+n{k}" for k in range(8) if rng.random() < 0.5 / (k + 1)]
+        words += [f"n{k}" for k in range(8) if i % 40 == k]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    based = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_spans", p.base_spans(p.F.col("text")))
+    held = []
+    for _, text in rows:
+        spans = [s for s in plain(text) if s[2] == "email"]
+        free = {m[0].lower() for m in re.finditer(r"[^\W_]+", text) if not any(s[0] < m.end() and s[3] > m.start() for s in spans)}
+        held.append(({"email:" + text[s[0]:s[3]].lower() for s in spans}, free))
+    want = set()
+    for e in set().union(*(x for x, _ in held)):
+        n_entity = sum(e in x for x, _ in held)
+        for t in set().union(*(f for _, f in held)):
+            n_term, n_both = sum(t in f for _, f in held), sum(e in x and t in f for x, f in held)
+            if n_both >= p.LEAST_TOGETHER and math.log(n_both / n_term) >= (1 - p.ALPHA) * math.log(n_entity / len(rows)):
+                want.add((e, t))
+    assert want and {tuple(r) for r in p.disclosing_terms(based).collect()} == want

@@ -2,8 +2,7 @@
 
 A first pass counts in how many documents each licence word occurs. The index holds, for each
 template, the postings (template, position) of its ``INDEXED`` words of highest IDF. The second
-pass looks up the ``LOOKED_UP`` highest-IDF licence words of each file; postings that agree on the
-template's start in the file (at least ``AGREEING`` words, or all that are indexed) make a
+pass looks up every occurrence of an indexed word; postings that agree on the template's start in the file (at least ``AGREEING`` words, or all that are indexed) make a
 candidate. A candidate is a match if ``LEAST_COVERAGE`` of the template's words stand at their
 places and its mandatory key phrases occur within it. Fixed phrases give base labels, whatever the
 index says.
@@ -49,7 +48,6 @@ TEMPLATES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related",)),
 )
 INDEXED = 6
-LOOKED_UP = 8
 AGREEING = 2
 LEAST_COVERAGE = 0.7
 #: Words around a candidate in which its key phrases may stand.
@@ -143,16 +141,10 @@ class Index:
         self.indexed = np.zeros(len(vocabulary.words), bool)
         self.indexed[list(self.postings)] = True
 
-    def _looked_up(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Places of the highest-IDF licence words of each text."""
+    def _looked_up(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the indexed words."""
         at = np.flatnonzero(ids >= 0)
-        pairs, back = np.unique(doc[at] * len(self.idf) + ids[at], return_inverse=True)
-        of, word = pairs // len(self.idf), pairs % len(self.idf)
-        order = np.lexsort((word, -self.idf[word], of))
-        rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
-        chosen = np.zeros(len(pairs), bool)
-        chosen[order[rank < LOOKED_UP]] = True
-        return at[chosen[back] & self.indexed[ids[at]]]
+        return at[self.indexed[ids[at]]]
 
     def _matches(self, ids: np.ndarray, low: int, high: int, at: list[int]) -> list[tuple]:
         votes: Counter = Counter()
@@ -180,7 +172,7 @@ class Index:
             for place in _places(ids, phrase, window_starts(bounds, len(phrase))).tolist():
                 base[int(doc[place])].append((place - int(bounds[doc[place]]), label))
         looked: dict[int, list] = defaultdict(list)
-        for place in self._looked_up(ids, doc).tolist():
+        for place in self._looked_up(ids).tolist():
             looked[int(doc[place])].append(place)
         for i in range(piece.n_texts):
             low, high = int(bounds[i]), int(bounds[i + 1])

@@ -33,3 +33,14 @@ def test_base_like_brute_force_and_method_labels(spark, odd):
 
 def test_empty(empty):
     assert li.scan_licenses(empty).count() == 0
+
+
+def test_every_notice_of_a_long_text(spark):
+    by = {text.split()[0] + str(len(text)): (label, text) for label, text, _ in li.TEMPLATES}
+    notices = [x for x in by.values() if len(x[1]) > 80 and x[0] in ("mit", "apache-2.0", "bsd", "mpl-2.0")]
+    filler = " ".join(f"prose{i}" for i in range(300))
+    text = f"{filler}\n".join(["", *(t for _, t in notices), "noncommercial sharealike attribution waived unencumbered redistribute neighboring lesser"])
+    docs = spark.createDataFrame([(1, text), (2, filler)], "doc_id long, text string")
+    found = {r.doc_id: r for r in li.scan_licenses(docs).collect()}
+    assert len({x for x, _ in notices}) == 4 and set(found[1].labels) == {x for x, _ in notices} and found[2].labels == []
+    assert len(found[1].matches) >= len(notices)

@@ -45,16 +45,23 @@ _TAG = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "template", "svg", "math"}
+_RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "svg", "math", "foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml",
 }
+#: Elements with a grammar of their own, elements in these that hold html, and html elements that end them.
+_FOREIGN, _HOLDS_HTML = {"svg", "math"}, {"foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
 _ENDS_P = {
     "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
+_BREAKS_OUT = _ENDS_P | {
+    "b", "big", "body", "br", "center", "code", "dd", "dt", "em", "embed", "head", "i", "img", "li", "listing", "menu", "meta", "nobr",
+    "ruby", "s", "small", "span", "strong", "strike", "sub", "sup", "tt", "u", "var",
+}
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SPACE = re.compile(r"\s+")
 
@@ -84,7 +91,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple] = []
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, foreign, hidden = 0, 0, 0, 0, 0
 
     def end_block() -> None:
         nonlocal linked
@@ -97,17 +104,28 @@ def blocks(page: str) -> list[Block]:
 
     def close(names: set) -> None:
         """Close the innermost open element of ``names`` and all within it."""
-        nonlocal links
+        nonlocal links, foreign, hidden
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 links -= sum(x[0] == "a" for x in stack[i:])
+                foreign -= sum(x[0] in _FOREIGN for x in stack[i:])
+                hidden -= sum(x[0] == "svg" for x in stack[i:])
                 del stack[i:]
                 return
 
+    def foreign_root() -> int:
+        """Place of the svg or math element whose grammar holds now, -1 if it is that of html."""
+        for i in range(len(stack) - 1, -1, -1) if foreign else ():
+            if stack[i][0] in _FOREIGN:
+                return i
+            if stack[i][0] in _HOLDS_HTML:
+                return -1
+        return -1
+
     while True:
         found = _TAG.search(page, at)
         text = page[at:found.start() if found else len(page)]
-        if text:
+        if text and not hidden:  # labels in drawings are not text of the page
             parts.append(text)
             linked += len(text) if links else 0
         if not found:
@@ -116,6 +134,21 @@ def blocks(page: str) -> list[Block]:
         name = (found[2] or "").lower()
         if not name:
             continue
+        root = foreign_root()
+        if root >= 0 and not found[1] and name in _BREAKS_OUT:  # an element that was never closed
+            close(_FOREIGN)
+            root = foreign_root()
+        if root >= 0 and not (found[1] and all(x[0] != name for x in stack[root:]) and any(x[0] == name for x in stack[:root])):
+            if found[1]:
+                if any(x[0] == name for x in stack[root:]):
+                    close({name})
+            elif not found[3].endswith("/"):
+                if name in _RAW:
+                    at = _raw_end(page, name, at)
+                    continue
+                stack.append(_element(name, found[3]))
+                links, foreign, hidden = links + (name == "a"), foreign + (name in _FOREIGN), hidden + (name == "svg")
+            continue
         if name == "br":
             parts.append(" ")
         if name not in _INLINE:
@@ -131,7 +164,7 @@ def blocks(page: str) -> list[Block]:
             at = _raw_end(page, name, at)
         elif name not in _VOID and not found[3].endswith("/"):
             stack.append(_element(name, found[3]))
-            links += name == "a"
+            links, foreign, hidden = links + (name == "a"), foreign + (name in _FOREIGN), hidden + (name == "svg")
     end_block()
     return out
 

@@ -63,3 +63,10 @@ def test_odd_pages_and_empty_tables(spark):
     none = h.fit_labeller(pages.limit(0))
     assert {r.text for r in h.extract_text(pages, none).collect()} == {""}
     assert h.extract_text(pages.limit(0), none).count() == 0
+
+
+def test_drawings_and_formulas():
+    assert texts('<svg class="icon"/><article><p>one</p><svg width=1 /><p>two <svg/>three</article>') == ["one", "two three"]
+    assert texts("<p>a <svg><title>t</title><desc>d</desc><g><text>label</text><path d=x /></g></svg>b<p>c") == ["a b", "c"]
+    assert texts("<p>so <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> holds</p>") == ["so x=1 holds"]
+    assert texts("<p>a<svg><g></p><p>b</p><div>c<svg><path><div>d</div>") == ["a", "b", "c", "d"]  # never closed

@@ -1,6 +1,8 @@
 """All queries of this subpackage."""
 
-from . import decontamination, html_text, language, licenses, mixing, passages, privacy, quality, shingle_join, warc  # noqa: F401
+from . import (  # noqa: F401
+    decontamination, html_text, language, licenses, mixing, passages, privacy, quality, reversed_search, shingle_join, warc,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

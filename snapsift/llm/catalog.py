@@ -1,7 +1,8 @@
 """All queries of this subpackage."""
 
 from . import (  # noqa: F401
-    decontamination, html_text, language, licenses, mixing, passages, privacy, quality, reversed_search, shingle_join, warc,
+    decontamination, fingerprints, html_text, language, licenses, mixing, passages, privacy, quality, reversed_search, shingle_join,
+    warc,
 )
 from .registry import ORACLES, QUERIES
 

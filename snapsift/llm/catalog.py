@@ -2,7 +2,7 @@
 
 from . import (  # noqa: F401
     decontamination, fingerprints, html_text, language, licenses, mixing, passages, privacy, quality, reversed_search, shingle_join,
-    warc,
+    spelling, warc,
 )
 from .registry import ORACLES, QUERIES
 

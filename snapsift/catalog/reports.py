@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.runtime import scratch_path, settle
-from ..operators import compare, selector
-from ..plans import evaluation
+from ..functions.runtime import scratch_path, settle, store_records
+from ..operators import compare, preprocess, selector
+from ..operators.rank_selector import RankSelector, fit_rank_selector
+from ..plans import evaluation, reporting
 from ..sources import tables as src
 from .registry import query, shared, with_sql
-from .scoring import CELLS, plates, predictions, PREDICTED_SQL, three_scores
+from .scoring import CELLS, plates, predictions, PREDICTED_SQL
 
 ALGS = fx.ALGORITHMS
 DATASET = "trial, snapshot, plate"
@@ -379,34 +380,80 @@ def leave_one_trial_out(spark, sf):
         "trial", "snapshot", "plate", "algorithm", "part")
 
 
-def trained(spark, sf):
-    """Selector trained on all comparison datasets but those of one trial."""
-    rows = selector.leave_one_trial_out(table(spark, sf), "T4").withColumn("dataset", selector.dataset_name())
-    cells = evaluation.table_metafeatures(rows)
-    return selector.fit_selector(cells, rows.select("dataset", "algorithm", "auroc"), ALGS)
+LEFT_OUT = "T4"
 
 
-def unseen(spark, sf):
-    held = table(spark, sf).filter("trial = 'T4'").withColumn("dataset", selector.dataset_name())
-    return evaluation.table_metafeatures(held)
+def trial_records(spark, sf):
+    """Stored records of the plates of all trials."""
+    rows = fx.load(spark, sf, "lineitem").count()
+    raw = preprocess.to_plates(fx.trial_plates(spark, sf), "dataset", "rec_id", "y", fx.TRIAL_FEATURES)
+    return shared(spark, sf, "trial records", lambda: store_records(preprocess.preprocess_plates(raw), rows))
+
+
+def trial_rows(spark, sf):
+    """Performance of every detector on every plate of the trials."""
+
+    def build():
+        rows = reporting.comparison_rows(evaluation.evaluate_detectors(trial_records(spark, sf)))
+        return settle(rows.withColumn("dataset", selector.dataset_name()))
+
+    return shared(spark, sf, "trial rows", build)
+
+
+def trial_metafeatures(spark, sf):
+    """Statistics and landmarks of every plate of the trials."""
+    return shared(spark, sf, "trial meta-features", lambda: settle(selector.meta_features(trial_records(spark, sf))))
+
+
+def of_trial(df, trial=LEFT_OUT):
+    return df.filter(F.col("dataset").startswith(f"{trial}/"))
+
+
+def trained(spark, sf, fit=fit_rank_selector):
+    """Selector trained on the plates of all trials but one; the least of the others is for validation."""
+    rows = selector.leave_one_trial_out(trial_rows(spark, sf), LEFT_OUT)
+    return fit(trial_metafeatures(spark, sf), rows, ALGS)
+
+
+def rank_trained(spark, sf):
+    return shared(spark, sf, "rank selector", lambda: trained(spark, sf))
+
+
+@query("trial_comparisons")
+def trial_comparisons(spark, sf):
+    return trial_rows(spark, sf).drop("dataset")
 
 
 @query("fit_selector")
 def fit_selector(spark, sf):
-    return selector.predict_performance([shared(spark, sf, "selector", lambda: trained(spark, sf))], unseen(spark, sf))
+    """How both kinds of selectors choose on the trial that neither has seen."""
+    cells, rows = of_trial(trial_metafeatures(spark, sf)), of_trial(trial_rows(spark, sf))
+    kinds = {"rank loss": rank_trained(spark, sf), "squared loss": trained(spark, sf, selector.fit_selector)}
+    parts = [
+        selector.choice_ranks(selector.predict_performance([s], cells), rows).select(F.lit(kind).alias("loss"), "dataset", "algorithm", "auroc", "place")
+        for kind, s in kinds.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("tune_selector")
+def tune_selector(spark, sf):
+    """Choices on the unseen trial of the selector whose rank served the validation trial best."""
+    rows = selector.leave_one_trial_out(trial_rows(spark, sf), LEFT_OUT)
+    tuned = selector.tune_selector(trial_metafeatures(spark, sf), rows, ALGS, (1, 3), fit_rank_selector, steps=30)
+    return selector.choice_ranks(selector.predict_performance([tuned], of_trial(trial_metafeatures(spark, sf))), of_trial(trial_rows(spark, sf)))
 
 
 @query("predict_performance")
 def predict_performance(spark, sf):
-    fitted = shared(spark, sf, "selector", lambda: trained(spark, sf))
-    return selector.predict_performance([fitted, fitted], unseen(spark, sf))
+    return selector.predict_performance([rank_trained(spark, sf)], of_trial(trial_metafeatures(spark, sf)))
 
 
 @query("save_load_selector")
 def save_load_selector(spark, sf):
     path = scratch_path(spark, "selector")
-    shared(spark, sf, "selector", lambda: trained(spark, sf)).save(path)
-    return selector.predict_performance([selector.Selector.load(spark, path)], unseen(spark, sf))
+    rank_trained(spark, sf).save(path)
+    return selector.predict_performance([RankSelector.load(spark, path)], of_trial(trial_metafeatures(spark, sf)))
 
 
 @query("top_models", with_sql([PREDICTED_SQL], "SELECT dataset, algorithm, r AS place FROM predicted WHERE r <= 2"))
@@ -416,17 +463,16 @@ def top_models(spark, sf):
 
 @query("score_with_selector")
 def score_with_selector(spark, sf):
-    fitted = shared(spark, sf, "selector", lambda: trained(spark, sf))
-    docs = three_scores(spark, sf)
-    # the three document scores stand in for detectors of the trained names
-    named = docs.withColumn(
-        "algorithm", F.when(F.col("algorithm") == "A", "ECOD").when(F.col("algorithm") == "B", "HBOS").otherwise("KNN"))
-    plain = named.select("dataset", "rec_id", F.lit("IForest").alias("algorithm"), F.col("rec_id").cast("double").alias("score"))
-    more = [plain.withColumn("algorithm", F.lit(a)) for a in ("IForest", "LOF", "PCA")]
-    scores = named
-    for df in more:
-        scores = scores.unionByName(df.distinct())
-    cells = docs.groupBy("dataset").agg(
-        F.log(F.count(F.lit(1))).alias("log_n_rows"), F.lit(7.0).alias("n_features"), F.lit(0.01).alias("feature_ratio"),
-    ).unpivot("dataset", ["log_n_rows", "n_features", "feature_ratio"], "feature", "value")
-    return evaluation.score_with_selector(docs, [fitted], scores, cells, k=2)
+    """Scores of the detector chosen for each plate of the unseen trial; only the chosen ones run."""
+    records = store_records(of_trial(trial_records(spark, sf)), fx.load(spark, sf, "lineitem").count())
+    return evaluation.score_with_selector(records, [rank_trained(spark, sf)], metafeatures=of_trial(trial_metafeatures(spark, sf)))
+
+
+@query("evaluate_selection")
+def evaluate_selection(spark, sf):
+    records = store_records(of_trial(trial_records(spark, sf)), fx.load(spark, sf, "lineitem").count())
+    rows = selector.leave_one_trial_out(trial_rows(spark, sf), LEFT_OUT)
+    cells = trial_metafeatures(spark, sf)
+    squared = [trained(spark, sf, selector.fit_selector)]
+    return evaluation.evaluate_selection(
+        records, (cells, rows), pretrained=squared, metafeatures=of_trial(cells), retrained=[rank_trained(spark, sf)])

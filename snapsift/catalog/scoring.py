@@ -446,15 +446,6 @@ def evaluate_detectors(spark, sf):
     return evaluation.evaluate_detectors(plates(spark, sf))
 
 
-@query("evaluate_selection")
-def evaluate_selection(spark, sf):
-    from ..plans import evaluation
-
-    records = plates(spark, sf)
-    table = fx.comparisons(spark, sf)
-    return evaluation.evaluate_selection(records, evaluation.demo_training(table))
-
-
 # --- flagship: diff, labels, score, metric in one question --------------------------------
 
 

@@ -144,6 +144,30 @@ cell AS (
   SELECT c.dataset, c.rec_id, c.pos, coalesce(c.value, m.fill) AS value
   FROM raw_cell c JOIN mode_value m ON c.dataset = m.dataset AND c.pos = m.pos)"""
 
+# --- plates of several trials, for selection ------------------------------------------------
+
+def trial_plates(spark: SparkSession, sf: str) -> DataFrame:
+    """Plates ``T/S/P`` of seven trials with two snapshots and three plates each, as wide rows.
+
+    Prices follow quantities, and parts are low or high. Records that were corrected later (``y``) are
+    unlike the others in one of three ways, by trial and plate: quantities beyond their range, prices
+    that don't go with the quantity, or parts between low and high.
+    """
+    trial, flag = F.col("centre") % 7, F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    kind, bad, i = (trial + flag) % 3, F.col("id") % 19 == 4, F.col("id")
+    quantity = F.when(bad & (kind == 0), 51 + i % 5).otherwise(F.col("l_quantity"))
+    matching = F.when(bad & (kind == 1), 51 - quantity).otherwise(quantity)
+    part = F.col("l_partkey") % 20 + F.when(F.col("l_partkey") % 3 == 0, 60).otherwise(0)
+    return line_form(spark, sf).select(
+        F.concat(F.lit("T"), trial, F.lit("/S"), F.col("l_linenumber") % 2, F.lit("/P"), flag).alias("dataset"),
+        (i * 100 + F.col("dfseq")).alias("rec_id"), quantity.cast("double").alias("quantity"),
+        (matching * 1500 + F.col("l_discount") * 10_000 + F.col("l_partkey") % 7 * 100).alias("price"), F.col("l_discount").alias("discount"),
+        F.when(i % 13 != 0, F.col("l_tax")).alias("tax"), F.when(bad & (kind == 2), 40).otherwise(part).cast("double").alias("part"), bad.cast("int").alias("y"),
+    )
+
+
+TRIAL_FEATURES = ["quantity", "price", "discount", "tax", "part"]
+
 # --- vectors ----------------------------------------------------------------------------
 
 

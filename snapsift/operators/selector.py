@@ -107,6 +107,11 @@ def meta_features_stats(records: DataFrame, window_rows: int = WINDOW_ROWS) -> D
     return wide.unpivot("dataset", names, "feature", "value")
 
 
+def meta_features(records: DataFrame, seed: int = 42) -> DataFrame:
+    """All meta-features: statistics and landmarks."""
+    return meta_features_stats(records).unionByName(meta_features_landmarks(records, seed))
+
+
 def meta_features_landmarks(records: DataFrame, seed: int = 42) -> DataFrame:
     """Long statistics of the scores of four cheap detectors."""
     scored = {
@@ -230,6 +235,18 @@ class Selector:
             PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/algorithms"), rows[0]["rank"],
         )
 
+    def predict(self, metafeatures: DataFrame) -> DataFrame:
+        """``(dataset, algorithm, predicted)``; the algorithms' factors, one row each, travel as a literal column."""
+        predicted = self.model.transform(_vectors(apply_scaling(metafeatures, self.scaling), self.features)).select(
+            "dataset", F.array(*[F.col(f"p{i}") for i in range(self.rank)]).alias("f")
+        )
+        known = F.array(*[
+            F.struct(F.lit(r["algorithm"]).alias("algorithm"), F.array(*[F.lit(v) for v in r["g"]]).alias("g"))
+            for r in self.algorithms.collect()
+        ])
+        dot = F.aggregate(F.zip_with("f", "g", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        return predicted.select("dataset", "f", F.inline(known)).select("dataset", "algorithm", dot.alias("predicted"))
+
 
 def _vectors(cells: DataFrame, features: list[str]) -> DataFrame:
     """One ML vector per dataset, in the order of ``features``; absent ones are zero."""
@@ -284,40 +301,40 @@ def fit_selector(
     return Selector(scaling, features, model, settle(items), rank)
 
 
+def choice_ranks(predictions: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """``(dataset, algorithm, auroc, place)`` of the setting chosen for each dataset.
+
+    ``place`` is its rank among the dataset's known performances, 1 for the best, ties averaged; a
+    missing performance counts as zero.
+    """
+    per = W.partitionBy("dataset")
+    known = comparisons.select("dataset", "algorithm", F.coalesce(F.nanvl("auroc", F.lit(0.0)), F.lit(0.0)).alias("auroc"))
+    ties = F.count(F.lit(1)).over(W.partitionBy("dataset", "auroc"))
+    placed = known.withColumn("place", F.rank().over(per.orderBy(F.desc("auroc"))) + (ties - 1) / 2)
+    return top_models(predictions, 1).select("dataset", "algorithm").join(placed, ["dataset", "algorithm"])
+
+
 def tune_selector(
-    metafeatures: DataFrame, comparisons: DataFrame, algorithms: list[str], ranks: tuple[int, ...] = (2, 3, 4), **fit
-) -> Selector:
-    """The selector whose rank predicts the validation part best, fitted on the training part."""
+    metafeatures: DataFrame, comparisons: DataFrame, algorithms: list[str], ranks: tuple[int, ...] = (2, 3, 4), fit=fit_selector, **limits
+):
+    """The selector of ``fit`` whose rank makes the best choices on the validation part, by mean place; the smallest on ties."""
     held = settle(comparisons.filter(F.col("part") == "validation").select("dataset", "algorithm", "auroc"))
     own = settle(metafeatures.join(held.select("dataset").distinct(), "dataset", "left_semi"))
     best, least = None, math.inf
     for rank in ranks:
-        fitted = fit_selector(metafeatures, comparisons, algorithms, rank, **fit)
-        gap = F.col("predicted") - F.coalesce(F.nanvl("auroc", F.lit(0.0)), F.lit(0.0))
-        error = predict_performance([fitted], own).join(held, ["dataset", "algorithm"]).agg(F.avg(gap * gap)).first()[0]
-        if best is None or (error is not None and error < least):
-            best, least = fitted, error if error is not None else math.inf
+        fitted = fit(metafeatures, comparisons, algorithms, rank, **limits)
+        place = choice_ranks(predict_performance([fitted], own), held).agg(F.avg("place")).first()[0]
+        if best is None or (place is not None and place < least):
+            best, least = fitted, place if place is not None else math.inf
     return best
 
 
-def predict_performance(selectors: list[Selector], metafeatures: DataFrame) -> DataFrame:
+def predict_performance(selectors: list, metafeatures: DataFrame) -> DataFrame:
     """``(dataset, algorithm, predicted)``, averaged over the selectors.
 
-    Algorithm factors (one row per compared algorithm) travel as a literal column.
+    A selector has ``predict(metafeatures)``.
     """
-    frames = []
-    for s in selectors:
-        scaled = apply_scaling(metafeatures, s.scaling)
-        predicted = s.model.transform(_vectors(scaled, s.features)).select(
-            "dataset", F.array(*[F.col(f"p{i}") for i in range(s.rank)]).alias("f")
-        )
-        known = F.array(*[
-            F.struct(F.lit(r["algorithm"]).alias("algorithm"), F.array(*[F.lit(v) for v in r["g"]]).alias("g"))
-            for r in s.algorithms.collect()
-        ])
-        dot = F.aggregate(F.zip_with("f", "g", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-        frames.append(predicted.select("dataset", "f", F.inline(known)).select("dataset", "algorithm", dot.alias("predicted")))
-    both = reduce(lambda a, b: a.unionByName(b), frames)
+    both = reduce(lambda a, b: a.unionByName(b), [s.predict(metafeatures) for s in selectors])
     return both.groupBy("dataset", "algorithm").agg(F.avg("predicted").alias("predicted"))
 
 

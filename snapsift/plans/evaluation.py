@@ -9,6 +9,7 @@ from ..functions.runtime import settle
 from ..functions.skew import small_side
 from ..operators import ensemble, metrics, selector
 from ..operators.detectors import pool
+from ..operators.rank_selector import fit_rank_selector
 from .study import union_all
 
 
@@ -20,7 +21,7 @@ def evaluate_detectors(records: DataFrame, grid: dict = pool.DEFAULT_GRID) -> Da
 
 
 def score_with_selector(
-    records: DataFrame, selectors: list[selector.Selector], scores: DataFrame | None = None,
+    records: DataFrame, selectors: list, scores: DataFrame | None = None,
     metafeatures: DataFrame | None = None, k: int = 1, grid: dict = pool.DEFAULT_GRID,
 ) -> DataFrame:
     """Scores of the chosen setting(s), for all datasets in one batch.
@@ -29,7 +30,7 @@ def score_with_selector(
     that chose it. Meta-features are computed when they are not given.
     """
     if metafeatures is None:
-        metafeatures = selector.meta_features_stats(records)
+        metafeatures = selector.meta_features(records)
     chosen = settle(selector.top_models(selector.predict_performance(selectors, metafeatures), k))
     if scores is None:
         scores = score_chosen(records, chosen, grid)
@@ -51,35 +52,20 @@ def score_chosen(records: DataFrame, chosen: DataFrame, grid: dict = pool.DEFAUL
     return union_all(parts)
 
 
-def demo_training(comparisons: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Meta-features and performance of a comparison table, by dataset name."""
-    named = comparisons.withColumn("dataset", selector.dataset_name())
-    return table_metafeatures(named), named.select("dataset", "algorithm", "auroc")
-
-
-def table_metafeatures(named: DataFrame) -> DataFrame:
-    """Size statistics of each dataset of a comparison table, named as in the full set."""
-    wide = named.groupBy("dataset").agg(
-        F.log(F.sum("num_samples")).alias("log_n_rows"),
-        F.max("num_columns").cast("double").alias("n_features"),
-        (F.max("num_columns") / F.sum("num_samples")).alias("feature_ratio"),
-    )
-    return wide.unpivot("dataset", ["log_n_rows", "n_features", "feature_ratio"], "feature", "value")
-
-
 def evaluate_selection(
-    records: DataFrame, training: tuple[DataFrame, DataFrame], pretrained: list[selector.Selector] | None = None,
-    k: int = 3, grid: dict = pool.DEFAULT_GRID,
+    records: DataFrame, training: tuple[DataFrame, DataFrame], pretrained: list | None = None,
+    k: int = 3, grid: dict = pool.DEFAULT_GRID, metafeatures: DataFrame | None = None, retrained: list | None = None,
 ) -> DataFrame:
     """Compare the best single detector, two selectors, two ensembles and a top-k ensemble.
 
-    ``training`` is (meta-features, comparisons) of other trials. ``pretrained`` are
-    selectors fitted elsewhere; without them that line-up entry is left out.
+    ``training`` is (meta-features, comparisons) of other trials, from which a selector is fitted unless
+    ``retrained`` ones are given. ``pretrained`` are selectors fitted elsewhere; without them that
+    line-up entry is left out. ``metafeatures`` of the records are computed when not given.
     """
     scores = settle(pool.score_all(records, grid).drop("params"))
     names = list(grid)
-    retrained = [selector.fit_selector(*training, names)]
-    cells = settle(selector.meta_features_stats(records))
+    retrained = retrained or [fit_rank_selector(*training, names)]
+    cells = settle(selector.meta_features(records) if metafeatures is None else metafeatures)
     lines = {"IForest": scores.filter(F.col("algorithm") == "IForest").select("dataset", "rec_id", "score")}
     if pretrained:
         lines["Selector(pretrained)"] = score_with_selector(records, pretrained, scores, cells)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.runtime import store_records
 from ..operators import ensemble, guards, labels, metrics, preprocess, snapdiff
-from ..operators.detectors import ecod, hbos, iforest, loda, neighbors, ocsvm, pca, pool
+from ..operators.detectors import ann, ecod, hbos, iforest, loda, neighbors, ocsvm, pca, pool
 from .registry import query, shared, with_sql
 
 
@@ -104,6 +104,26 @@ def knn_graph(spark, sf):
     return graph.withColumn("distance", F.round("distance", 6))
 
 
+#: The vectors have no structure that projections could find, so many neighbours are tried.
+APPROXIMATE = ann.Approximation(near=30)
+
+
+@query("knn_graph_approximate")
+def knn_graph_approximate(spark, sf):
+    graph = neighbors.knn_graph(fx.vectors(spark, sf), 10, approximate=APPROXIMATE)
+    return graph.withColumn("distance", F.round("distance", 6))
+
+
+@query("knn_graph_recall")
+def knn_graph_recall(spark, sf):
+    """Share of the exact graph that the approximate one finds, and the comparisons per point."""
+    records = fx.vectors(spark, sf)
+    graph = neighbors.knn_points(records, 10, approximate=APPROXIMATE)
+    found = ann.recall(neighbors.neighbor_rows(graph), neighbors.knn_graph(records, 10, block_rows=256))
+    tried = graph.candidates.groupBy("dataset").agg(F.max("n").alias("most_candidates"), F.avg("n").alias("mean_candidates"))
+    return found.join(tried, "dataset").withColumn("bound", F.lit(APPROXIMATE.most_candidates()).cast("long"))
+
+
 @query("score_knn", with_sql(VECTORS, "").rstrip() + knn_sql(5) + """
     SELECT 'vectors' AS dataset, p AS rec_id, round(max(d), 6) AS score FROM nn GROUP BY p""")
 def score_knn(spark, sf):

@@ -5,11 +5,14 @@
 2. Points are split into spatial *blocks* of bounded size: a k-d split learnt from a
    bounded sample of each part, repeated until the parts are small.
 3. Every block finds neighbours inside itself; the k-th distance bounds the search.
-4. A point visits only those other blocks whose bounding box is within its bound; the
-   boxes form a tree, walked one level per join.
-5. Visits to a block are cut into chunks, so one task sees at most a few blocks of rows.
-
-Nothing is approximated: a point that cannot rule out a block visits it.
+4. Blocks are routed to blocks: a pair stays if the two bounding boxes are within the largest
+   bound of the one's points. The boxes form a tree, walked one level per join.
+5. Points move to units of sibling blocks, unless their own bound rules the unit out. A task
+   searches a unit's near blocks first and narrows the bounds as it goes. Visits to a unit
+   are cut into chunks, so one task sees bounded numbers of points and blocks.
+
+Nothing is approximated: a point that cannot rule out a block visits it. ``approximate`` graphs
+(``ann.py``) are an option of ``knn_points`` and ``knn_graph``.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from ...functions.models import stack
 from ...functions.runtime import settle, spread, store
 from ...functions.skew import BROADCAST_BYTES, skew_lookup
+from . import ann
 
 BLOCK_ROWS = 1024
 FANOUT = 64
@@ -52,13 +56,19 @@ class Graph:
     """``points``: (dataset, point, features, copies, ids); ``nn``: (dataset, point, nn).
 
     ``nn`` holds the k + 1 nearest records of the point by (distance, id), its own copies
-    included. ``members`` maps records to points.
+    included. ``members`` maps records to points. An approximate graph has ``candidates``, the
+    number of points ``n`` that each (dataset, point) was compared with.
     """
 
     k: int
     points: DataFrame
     nn: DataFrame
     members: DataFrame
+    candidates: DataFrame | None = None
+
+    @property
+    def exact(self) -> bool:
+        return self.candidates is None
 
 
 def collapse_copies(records: DataFrame, keep: int) -> DataFrame:
@@ -105,8 +115,8 @@ def leaf_of(x: np.ndarray, dims: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return node - len(dims)
 
 
-def split_blocks(points: DataFrame, block_rows: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Give each point a ``block`` path; also returns (dataset, node, child) per level.
+def split_blocks(points: DataFrame, block_rows: int, by: str = "features") -> DataFrame:
+    """Give each point a ``block`` path, by splits of the array column ``by``.
 
     ``block`` is text, one step per level, so a prefix names the parent. The loop runs on
     the driver, once per level, reading one number each time.
@@ -125,12 +135,12 @@ def split_blocks(points: DataFrame, block_rows: int) -> tuple[DataFrame, list[Da
             current, large.select("dataset", "block", F.col("n").alias("_n"), F.col("n").alias("_w")),
             ["dataset", "block"], "_w", total, "inner",
         )
-        sample = located.filter(drawn < rate).select("dataset", "block", "features", F.col("_n").alias("n"))
+        sample = located.filter(drawn < rate).select("dataset", "block", by, F.col("_n").alias("n"))
 
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
             parts = min(FANOUT, pdf["n"].iloc[0] / (0.75 * block_rows))
             depth = max(1, math.ceil(math.log2(parts)))
-            dims, cuts = split_tree(stack(pdf["features"]), depth)
+            dims, cuts = split_tree(stack(pdf[by]), depth)
             return pd.DataFrame({
                 "dataset": [pdf["dataset"].iloc[0]], "block": [pdf["block"].iloc[0]],
                 "n": [pdf["n"].iloc[0]], "dims": [dims], "cuts": [cuts],
@@ -151,7 +161,7 @@ def split_blocks(points: DataFrame, block_rows: int) -> tuple[DataFrame, list[Da
                         rows = chosen.iloc[index]
                         where = np.flatnonzero(split)[index]
                         first = rows.iloc[0]
-                        leaf[where] = leaf_of(stack(rows["features"]), np.asarray(first["dims"]), np.asarray(first["cuts"]))
+                        leaf[where] = leaf_of(stack(rows[by]), np.asarray(first["dims"]), np.asarray(first["cuts"]))
                 out = pdf.drop(columns=["dims", "cuts"])
                 out["block"] = pdf["block"] + "." + pd.Series(leaf, index=pdf.index).astype(str)
                 yield out
@@ -224,18 +234,26 @@ def nearest_lists(
 
 
 def _own_blocks(blocks: DataFrame, keep: int, metric: str) -> DataFrame:
-    """Neighbours inside the own block, and the k-th distance as search bound."""
+    """Neighbours inside the own block, and the k-th distance as search bound.
+
+    One row of each block also carries the block's box and the largest bound of its points.
+    """
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point")
         x = stack(pdf["features"])
         far, ids, near = nearest_lists(x, x, list(pdf["ids"]), pdf["point"].to_numpy(), keep, metric)
         full = [f[-1] if len(f) == keep else math.inf for f in far]
+        once = [None] * (len(pdf) - 1)
         return pd.DataFrame({
             "dataset": pdf["dataset"].to_numpy(), "block": pdf["block"].to_numpy(), "point": pdf["point"].to_numpy(),
-            "features": pdf["features"].to_numpy(), "bound": full, "distance": far, "id": ids, "near": near,
+            "features": pdf["features"].to_numpy(), "ids": pdf["ids"].to_numpy(), "bound": full, "distance": far, "id": ids, "near": near,
+            "lo": [x.min(axis=0), *once], "hi": [x.max(axis=0), *once], "reach": [max(full), *once],
         })
 
-    schema = f"dataset string, block string, point long, features array<double>, bound double, {_LISTS}"
+    schema = (
+        "dataset string, block string, point long, features array<double>, ids array<long>, bound double, "
+        f"{_LISTS}, lo array<double>, hi array<double>, reach double"
+    )
     sizes = blocks.groupBy("dataset", "block").agg(F.count(F.lit(1)).alias("n"))
     groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
     return spread(blocks, ["dataset", "block"], rows or 0, groups).groupBy("dataset", "block").applyInPandas(search, schema)
@@ -244,128 +262,185 @@ def _own_blocks(blocks: DataFrame, keep: int, metric: str) -> DataFrame:
 # --- walking the boxes -----------------------------------------------------------------------
 
 
+def _hulls(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Smallest box around the boxes (lo, hi) of each group; there is a row per block, not per point."""
+    sides = boxes.select(*keys, F.posexplode(F.arrays_zip("lo", "hi")).alias("pos", "side")).groupBy(*keys, "pos").agg(
+        F.min("side.lo").alias("lo"), F.max("side.hi").alias("hi")
+    )
+    whole = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi")))
+    return sides.groupBy(*keys).agg(whole.alias("_box")).select(*keys, F.col("_box.lo").alias("lo"), F.col("_box.hi").alias("hi"))
+
+
 def _box_levels(blocks: DataFrame) -> list[DataFrame]:
     """Per level ``(dataset, node, children)``: boxes of the children of each node."""
-    leaves = blocks.select("dataset", "block", F.posexplode("features").alias("pos", "v")).groupBy(
-        "dataset", "block", "pos"
-    ).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    leaves = settle(leaves)
-    depth = leaves.agg(F.max(F.size(F.split("block", r"\.")))).first()[0] - 1
+    depth = blocks.agg(F.max(F.size(F.split("block", r"\.")))).first()[0] - 1
     levels = []
     for level in range(1, depth + 1):
         child = F.array_join(F.slice(F.split("block", r"\."), 1, level + 1), ".")
         node = F.array_join(F.slice(F.split("child", r"\."), 1, level), ".")
-        boxes = leaves.withColumn("child", child).groupBy("dataset", "child", "pos").agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi")
-        )
-        sides = F.array_sort(F.collect_list(F.struct("pos", "lo", "hi")))
-        whole = boxes.groupBy("dataset", "child").agg(sides.alias("box"))
-        levels.append(
-            whole.withColumn("node", node).groupBy("dataset", "node").agg(
-                F.collect_list(F.struct("child", "box")).alias("children")
-            )
-        )
+        hulls = _hulls(blocks.withColumn("child", child), ["dataset", "child"]).withColumn("node", node)
+        levels.append(hulls.groupBy("dataset", "node").agg(F.collect_list(F.struct("child", "lo", "hi")).alias("children")))
     return levels
 
 
 def _small_side(level: DataFrame) -> DataFrame:
     """The boxes of one level, settled; broadcast when their measured size allows it.
 
-    The first levels have few nodes that many points share, so they are small; deeper
-    ones may be large, but each of their nodes has few points.
+    The first levels have few nodes that many blocks share, so they are small; deeper
+    ones may be large, but each of their nodes has few blocks.
     """
     level = settle(level)
-    sides = F.size("children") * F.size(F.get("children", F.lit(0))["box"])
+    sides = F.size("children") * F.size(F.get("children", F.lit(0))["lo"])
     measured = level.agg(F.sum(sides.cast("long"))).first()[0] or 0
     return F.broadcast(level) if measured * 24 <= BROADCAST_BYTES else level
 
 
-def _route(own: DataFrame, blocks: DataFrame, metric: str) -> DataFrame:
-    """``(dataset, target, point, features, bound)``: blocks each point has to visit.
+def _gap(low, high, lo, hi, metric: str):
+    """Least distance between the box (low, high) and the box (lo, hi)."""
+    apart = F.zip_with(
+        F.zip_with(lo, high, lambda a, b: a - b), F.zip_with(low, hi, lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))
+    )
+    if metric == "manhattan":
+        return F.aggregate(apart, F.lit(0.0), lambda a, g: a + g)
+    return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda a, g: a + g * g))
+
+
+def _within(gap, bound):
+    return gap <= bound * (1 + SLACK) + SLACK * SLACK
 
-    One join per tree level; a node has at most FANOUT children, unless a part was cut by
-    hash.
-    """
-    def gap(child):
-        sides = F.zip_with(
-            F.col("features"), child["box"],
-            lambda v, b: F.greatest(b["lo"] - v, v - b["hi"], F.lit(0.0)),
-        )
-        if metric == "manhattan":
-            return F.aggregate(sides, F.lit(0.0), lambda a, g: a + g)
-        return F.sqrt(F.aggregate(sides, F.lit(0.0), lambda a, g: a + g * g))
 
-    walk = own.select("dataset", "block", "point", "features", "bound", F.lit("").alias("node"))
-    near = lambda c: gap(c) <= F.col("bound") * (1 + SLACK) + SLACK * SLACK
+def route_blocks(blocks: DataFrame, metric: str) -> DataFrame:
+    """``(dataset, block, target)``: the other blocks in which some point of a block may have neighbours.
+
+    One row per pair of blocks, none per point. One join per tree level; a node has at most FANOUT
+    children, unless a part was cut by hash.
+    """
+    walk = blocks.select("dataset", "block", "lo", "hi", "reach", F.lit("").alias("node"))
     for level in _box_levels(blocks):
-        kept = F.transform(F.filter("children", near), lambda c: c["child"])
+        near = F.filter("children", lambda c: _within(_gap(F.col("lo"), F.col("hi"), c["lo"], c["hi"], metric), F.col("reach")))
         walk = walk.join(_small_side(level), ["dataset", "node"]).select(
-            "dataset", "block", "point", "features", "bound", F.explode(kept).alias("node")
+            "dataset", "block", "lo", "hi", "reach", F.explode(F.transform(near, lambda c: c["child"])).alias("node")
         )
-    return walk.filter(F.col("node") != F.col("block")).select(
-        "dataset", F.col("node").alias("target"), "point", "features", "bound"
+    return walk.filter(F.col("node") != F.col("block")).select("dataset", "block", F.col("node").alias("target"))
+
+
+def _units(blocks: DataFrame) -> DataFrame:
+    """``(dataset, block, unit, lo, hi)``: sibling blocks that are searched together, at most about FANOUT.
+
+    Points move once per unit, not per block; while there are few blocks, units are small enough for
+    every core.
+    """
+    spark = blocks.sparkSession
+    parent = F.array_join(F.slice(F.split("block", r"\."), F.lit(1), F.greatest(F.size(F.split("block", r"\.")) - 1, F.lit(1))), ".")
+    placed = blocks.select("dataset", "block", "lo", "hi", parent.alias("parent"))
+    per = max(1, min(FANOUT, placed.count() // spark.sparkContext.defaultParallelism))
+    family = placed.groupBy("dataset", "parent").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("block"), F.ceil(F.col("n") / F.lit(per)))
+    return placed.join(family, ["dataset", "parent"]).select(
+        "dataset", "block", F.concat("parent", F.lit("#"), part.cast("string")).alias("unit"), "lo", "hi"
     )
 
 
-def _visit(routed: DataFrame, blocks: DataFrame, keep: int, metric: str, block_rows: int) -> DataFrame:
-    """Search the routed points in their target blocks, in bounded chunks."""
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(4 * block_rows)))
-    loads = settle(routed.groupBy("dataset", "target").agg(F.count(F.lit(1)).alias("n")))
-    total, groups = loads.agg(F.sum("n"), F.sum(chunks)).first()
-    total, groups = total or 0, groups or 0
-    sized = loads.select("dataset", "target", chunks.alias("chunks"), F.col("n").alias("_w"))
-    queries = skew_lookup(routed, sized, ["dataset", "target"], "_w", total, "inner").withColumn(
-        "chunk", F.pmod(F.xxhash64("point"), F.col("chunks"))
+def _visit(routed: DataFrame, own: DataFrame, boxes: DataFrame, keep: int, metric: str, block_rows: int) -> DataFrame:
+    """Search points in the units that hold a target of their block, in bounded chunks of points.
+
+    A task takes the unit's blocks in the order of their distance from its points, and every block
+    narrows the bounds for the next ones.
+    """
+    units = settle(_units(boxes))
+    sizes = own.groupBy("dataset", "block").agg(F.count(F.lit(1)).alias("n"))
+    targets = units.select("dataset", F.col("block").alias("target"), "unit")
+    pairs = settle(routed.join(targets, ["dataset", "target"]).select("dataset", "block", "unit").distinct().join(sizes, ["dataset", "block"]))
+    chunks = F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(4 * block_rows)))
+    sized = settle(pairs.groupBy("dataset", "unit").agg(chunks.alias("chunks")))
+    total, groups = pairs.agg(F.sum("n")).first()[0] or 0, sized.agg(F.sum("chunks")).first()[0] or 0
+    hulls = _hulls(units, ["dataset", "unit"]).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    asked = settle(pairs.join(sized, ["dataset", "unit"]).join(hulls, ["dataset", "unit"]).select(
+        "dataset", "block", "unit", F.pmod(F.xxhash64("block"), F.col("chunks")).alias("chunk"), "_lo", "_hi"))
+    queries = own.select("dataset", "block", "point", "features", "bound").join(asked, ["dataset", "block"]).filter(
+        _within(_gap(F.col("features"), F.col("features"), F.col("_lo"), F.col("_hi"), metric), F.col("bound"))
     )
     held = (
-        blocks.withColumnRenamed("block", "target")
-        .join(sized.drop("_w"), ["dataset", "target"])
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        own.select("dataset", "block", "point", "features", "ids").join(units.select("dataset", "block", "unit"), ["dataset", "block"])
+        .join(sized, ["dataset", "unit"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     )
 
+    held = held.toDF(*held.columns)  # both sides read the blocks, so one gets fresh column identities
+
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if q.empty or x.empty:
             return pd.DataFrame()
-        x = x.sort_values("point")
-        far, ids, near = nearest_lists(
-            stack(q["features"]), stack(x["features"]), list(x["ids"]),
-            x["point"].to_numpy(), keep, metric, q["bound"].to_numpy(),
-        )
+        asked, bound, home = stack(q["features"]), q["bound"].to_numpy().copy(), q["block"].to_numpy()
+        best = np.full((len(q), keep), math.inf)
+        found: list[list] = [[] for _ in range(len(q))]
+        parts = []
+        for name, part in x.groupby("block", sort=True):
+            part = part.sort_values("point")
+            features = stack(part["features"])
+            parts.append((float(distances(asked.mean(axis=0)[None], features.mean(axis=0)[None], metric)[0, 0]), name, part, features))
+        for _, name, part, features in sorted(parts, key=lambda p: p[:2]):
+            apart = np.maximum(np.maximum(features.min(axis=0) - asked, asked - features.max(axis=0)), 0.0)
+            gap = apart.sum(axis=1) if metric == "manhattan" else np.sqrt((apart * apart).sum(axis=1))
+            rows = np.flatnonzero((home != name) & (gap <= bound * (1 + SLACK) + SLACK * SLACK))
+            if not len(rows):
+                continue
+            far, ids, near = nearest_lists(asked[rows], features, list(part["ids"]), part["point"].to_numpy(), keep, metric, bound[rows])
+            padded = np.full((len(rows), keep), math.inf)
+            for i, (row, lists) in enumerate(zip(rows.tolist(), zip(far, ids, near, strict=True), strict=True)):
+                padded[i, :len(lists[0])] = lists[0]
+                found[row].extend(zip(*lists, strict=True))
+            best[rows] = np.sort(np.concatenate([best[rows], padded], axis=1), axis=1)[:, :keep]
+            bound[rows] = np.minimum(bound[rows], best[rows, -1])
+        kept = [sorted(f)[:keep] for f in found]
         return pd.DataFrame({
             "dataset": q["dataset"].to_numpy(), "point": q["point"].to_numpy(),
-            "distance": far, "id": ids, "near": near,
+            "distance": [[f[0] for f in k] for k in kept], "id": [[f[1] for f in k] for k in kept], "near": [[f[2] for f in k] for k in kept],
         })
 
-    cols = ["dataset", "target", "chunk"]
+    cols = ["dataset", "unit", "chunk"]
     return (
-        spread(queries.select(*cols, "point", "features", "bound"), cols, total, groups).groupBy(*cols)
-        .cogroup(spread(held.select(*cols, "point", "features", "ids"), cols, total, groups).groupBy(*cols))
+        spread(queries.select(*cols, "block", "point", "features", "bound"), cols, total, groups).groupBy(*cols)
+        .cogroup(spread(held.select(*cols, "block", "point", "features", "ids"), cols, total, groups).groupBy(*cols))
         .applyInPandas(search, f"dataset string, point long, {_LISTS}")
     )
 
 
-def knn_points(records: DataFrame, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> Graph:
-    """Exact k-nearest-neighbour graph over distinct points."""
+def best_lists(lists: DataFrame, keep: int, distinct: bool = False) -> DataFrame:
+    """Merge ``(dataset, point, nn)`` rows of each point to its ``keep`` nearest by (distance, id).
+
+    ``distinct`` when a neighbour may stand in several rows of a point.
+    """
+    flat = lists.select("dataset", "point", F.inline("nn").alias("distance", "id", "neighbor"))
+    if distinct:
+        flat = flat.groupBy("dataset", "point", "id").agg(F.min("distance").alias("distance"), F.first("neighbor").alias("neighbor"))
+    order = W.partitionBy("dataset", "point").orderBy("distance", "id")
+    best = flat.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep)
+    return best.groupBy("dataset", "point").agg(
+        F.array_sort(F.collect_list(F.struct("distance", "id", F.col("neighbor").alias("point")))).alias("nn")
+    )
+
+
+def knn_points(
+    records: DataFrame, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS, approximate: ann.Approximation | None = None
+) -> Graph:
+    """k-nearest-neighbour graph over distinct points; exact unless ``approximate`` is given."""
     keep = k + 1
     points = store(collapse_copies(records, keep))
+    if approximate is not None:
+        nn, candidates = ann.approximate_lists(points, keep, metric, approximate)
+        return Graph(k, points, nn, records, candidates)
     blocks = split_blocks(points, max(block_rows, 2 * keep))
     own = store(_own_blocks(blocks, keep, metric))
     lists = own.select("dataset", "point", _nn())
-    several = blocks.groupBy("dataset").agg(F.min("block").alias("a"), F.max("block").alias("b"))
-    if several.filter("a <> b").isEmpty():
+    boxes = settle(own.filter(F.col("lo").isNotNull()).select("dataset", "block", "lo", "hi", "reach"))
+    if boxes.groupBy("dataset").count().filter("count > 1").isEmpty():
         nn = lists
     else:
-        routed = settle(_route(own, blocks, metric))
-        travelled = settle(routed.select("dataset", "point").distinct())
-        other = _visit(routed, blocks, keep, metric, block_rows).select("dataset", "point", _nn())
-        # only points that visited another block have lists to merge
-        both = lists.join(travelled, ["dataset", "point"], "left_semi").unionByName(other)
-        flat = both.select("dataset", "point", F.inline("nn").alias("distance", "id", "neighbor"))
-        order = W.partitionBy("dataset", "point").orderBy("distance", "id")
-        best = flat.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep)
-        merged = best.groupBy("dataset", "point").agg(
-            F.array_sort(F.collect_list(F.struct("distance", "id", F.col("neighbor").alias("point")))).alias("nn")
-        )
+        routed = settle(route_blocks(boxes, metric))
+        other = store(_visit(routed, own, boxes, keep, metric, block_rows).select("dataset", "point", _nn()).filter(F.size("nn") > 0))
+        travelled = other.select("dataset", "point").distinct()
+        # only points that found something in another block have lists to merge
+        merged = best_lists(lists.join(travelled, ["dataset", "point"], "left_semi").unionByName(other), keep)
         nn = store(lists.join(travelled, ["dataset", "point"], "left_anti").unionByName(merged))
     return Graph(k, points, nn, records)
 
@@ -404,9 +479,21 @@ def to_records(scores: DataFrame, graph: Graph, columns: list[str]) -> DataFrame
     ).unionByName(copied.select("dataset", "rec_id", "point", *columns))
 
 
-def knn_graph(records: DataFrame, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(dataset, rec_id, rank, neighbor, distance)``: k nearest others, ties by id."""
-    graph = knn_points(records, k, metric, block_rows)
+def knn_graph(
+    records: DataFrame, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS, approximate: ann.Approximation | None = None
+) -> DataFrame:
+    """``(dataset, rec_id, rank, neighbor, distance)``: k nearest others, ties by id.
+
+    An approximate graph says so: its rows also have ``exact`` = false.
+    """
+    graph = knn_points(records, k, metric, block_rows, approximate)
+    rows = neighbor_rows(graph)
+    return rows if graph.exact else rows.withColumn("exact", F.lit(False))
+
+
+def neighbor_rows(graph: Graph) -> DataFrame:
+    """``(dataset, rec_id, rank, neighbor, distance)`` of all records of a graph."""
+    k = graph.k
     rows = to_records(graph.nn, graph, ["nn"])
     others = F.slice(F.filter("nn", lambda x: x["id"] != F.col("rec_id")), 1, k)
     return rows.select("dataset", "rec_id", F.posexplode(others).alias("_i", "x")).select(

@@ -26,6 +26,7 @@ doc_id is never the smallest; an empty table gives no rows; other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,42 +46,45 @@ PERCENT = 85
 BLOCK = 512
 
 
-def _size_class(n: int) -> tuple[int, int]:
+def _size_class(n: int, percent: int = PERCENT) -> tuple[int, int]:
     """First and last size of the class of ``n``; a class ends where linked sizes differ thrice."""
     first = 1
     while True:
-        last = max(6, first * 100**3 // PERCENT**3)
+        last = max(6, first * 100**3 // percent**3)
         if n <= last:
             return first, last
         first = last + 1
 
 
-def _classes(n: int) -> list[int]:
+def _classes(n: int, percent: int = PERCENT) -> list[int]:
     """Last sizes of the classes in which a set of ``n`` shingles has partners at least as large."""
-    own = _size_class(n)[1]
-    largest = n * 100 // PERCENT
-    return [own] if largest <= own else [own, _size_class(own + 1)[1]]
+    own = _size_class(n, percent)[1]
+    largest = n * 100 // percent
+    return [own] if largest <= own else [own, _size_class(own + 1, percent)[1]]
 
 
-def _buckets(last: int) -> int:
+def _buckets(last: int, percent: int = PERCENT) -> int:
     """One more than the shingles in which linked sets of at most ``last`` can differ."""
-    return 2 * last * (100 - PERCENT) // (100 + PERCENT) + 1
+    return 2 * last * (100 - percent) // (100 + percent) + 1
 
 
-def _salts(n: int) -> int:
-    """Times that a set is bucketed: a borderline pair is lost with a chance of under about 1e-6."""
-    return 8 if n < 24 else 4 if n < 80 else 2 if n < 300 else 1
+def _salts(n: int, percent: int = PERCENT) -> int:
+    """Times that a set is bucketed: a borderline pair is lost with a chance of under about 1e-6.
+
+    Below ``PERCENT``, sets of a few shingles have partners, with which they share buckets of two only by luck.
+    """
+    return 16 if n < 8 and percent < PERCENT else 8 if n < 24 else 4 if n < 80 else 2 if n < 300 else 1
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text."""
     for piece in pieces(column, SPACED):
         hashes = piece.hashes(lower=True)
-        windows = window_hashes(hashes, SHINGLE)
+        windows = window_hashes(hashes, shingle)
         for low, high in zip(piece.bounds[:-1].tolist(), piece.bounds[1:].tolist(), strict=True):
             n = high - low
-            if n >= SHINGLE:
-                yield np.unique(windows[low:high - SHINGLE + 1])
+            if n >= shingle:
+                yield np.unique(windows[low:high - shingle + 1])
             elif n:
                 short = hashes[low:low + 1]
                 for k in range(low + 1, high):
@@ -95,12 +99,12 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix(total + np.uint64(len(shingles))).view(np.int64)[0])
 
 
-def bucket_keys(shingles: np.ndarray) -> np.ndarray:
+def bucket_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Hashes of the set's buckets, for every class and salt."""
     n, out = len(shingles), []
-    for last in _classes(n):
-        m = _buckets(last)
-        for salt in range(_salts(n) if m > 1 else 1):
+    for last in _classes(n, percent):
+        m = _buckets(last, percent)
+        for salt in range(_salts(n, percent) if m > 1 else 1):
             value = mix(shingles + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64))
             bucket = ((value >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -129,10 +133,10 @@ def _first_of_each(group: np.ndarray, node: np.ndarray):
     return first, node[np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))]
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Per batch: a row per document, a row per distinct bucket, and links within the batch."""
     for batch in slices(batches, 2):
-        sets = list(shingle_sets(batch.column(2)))
+        sets = list(shingle_sets(batch.column(2), shingle))
         n = np.array([len(s) for s in sets], np.int64)
         keys = [set_key(s) if len(s) else None for s in sets]
         none = lambda size: pa.nulls(size, pa.int64())
@@ -143,7 +147,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = {k: s for k, s in zip(keys, sets, strict=True) if k is not None}
         if not distinct:
             continue
-        buckets = [bucket_keys(s) for s in distinct.values()]
+        buckets = [bucket_keys(s, percent) for s in distinct.values()]
         node = np.repeat(np.array(list(distinct), np.int64), [len(b) for b in buckets])
         bucket = np.concatenate(buckets)
         order = np.lexsort((node, bucket))
@@ -181,10 +185,6 @@ def _hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[apart]), pa.array(b[apart])], ["a", "b"])
 
 
-def _linked(overlap: int, n: int, m: int) -> bool:
-    return 100 * overlap >= PERCENT * (n + m - overlap)
-
-
 class _Node:
     __slots__ = ("path", "children", "sets", "least_n", "rest")
 
@@ -196,7 +196,8 @@ class _Node:
 class Trie:
     """Ordered sets in a path-compressed trie."""
 
-    def __init__(self):
+    def __init__(self, percent: int = PERCENT):
+        self.percent = percent
         self.root = _Node(np.zeros(0, np.uint64))
         self.sizes: dict[int, int] = {}
 
@@ -241,7 +242,7 @@ class Trie:
         stack = [(self.root, np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64))]
         while stack:
             node, alive, overlap, used = stack.pop()
-            need = -(-PERCENT * (n[alive] + node.least_n) // (100 + PERCENT))
+            need = -(-self.percent * (n[alive] + node.least_n) // (100 + self.percent))
             near = overlap + np.minimum(n[alive] - used, node.rest + len(node.path)) >= need
             alive, overlap, need = alive[near], overlap[near], need[near]
             if not len(alive):
@@ -260,7 +261,7 @@ class Trie:
                 used = used[near]
             for number in node.sets:
                 union = n[alive] + self.sizes[number] - overlap
-                linked = alive[100 * overlap >= PERCENT * union]
+                linked = alive[100 * overlap >= self.percent * union]
                 if len(linked):
                     yield number, linked
             stack.extend((child, alive, overlap, used) for child in node.children.values())
@@ -270,9 +271,9 @@ class Trie:
 WALK_CELLS = 1 << 24
 
 
-def trie_links(probes: list[np.ndarray], stored: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+def trie_links(probes: list[np.ndarray], stored: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """Positions (probe, stored) of linked sets."""
-    trie = Trie()
+    trie = Trie(percent)
     for i, shingles in enumerate(stored):
         trie.insert(i, shingles)
     first = 0
@@ -304,9 +305,9 @@ def spanning(links: Iterator[tuple[int, int]], size: int) -> list[int]:
     return [find(i) for i in range(size)]
 
 
-def join_group(sets: list[np.ndarray]) -> list[int]:
+def join_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """The smallest member of each set's component, by position."""
-    return spanning(trie_links(sets, sets), len(sets))
+    return spanning(trie_links(sets, sets, percent), len(sets))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
@@ -331,29 +332,29 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
-def _join_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_small(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for _, rows in _groups(batches):
         distinct = {node: shingles for _, node, shingles in rows}
         nodes = list(distinct)
-        yield _links([(nodes[i], nodes[r]) for i, r in enumerate(join_group(list(distinct.values()))) if i != r])
+        yield _links([(nodes[i], nodes[r]) for i, r in enumerate(join_group(list(distinct.values()), percent)) if i != r])
 
 
-def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links that connect the sets of a block that are left (side 0) and of a block of the group (side 1)."""
     for _, rows in _groups(batches):
         left = {node: s for side, node, s in rows if side == 0}
         right = {node: s for side, node, s in rows if side == 1}
         names = [*left, *right]
-        found = ((i, len(left) + j) for i, j in trie_links(list(left.values()), list(right.values())))
+        found = ((i, len(left) + j) for i, j in trie_links(list(left.values()), list(right.values()), percent))
         yield _links([(names[i], names[r]) for i, r in enumerate(spanning(found, len(names))) if i != r])
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(root, node, shingles) of the wanted (doc_id, node, root)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(root, node, shingles) of the wanted (doc_id, text_hash, node, root); a doc_id may be null."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(2)))
+            sets = list(shingle_sets(batch.column(2), shingle))
             nodes = batch.column(1).to_pylist()
             good = [i for i, s in enumerate(sets) if len(s) and set_key(s) == nodes[i]]
             yield pa.RecordBatch.from_arrays(
@@ -361,20 +362,22 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["root", "node", "shingles"],
             )
 
-    rows = docs.select("doc_id", "text").join(small_side(wanted), "doc_id").select("root", "node", "text")
+    asked = small_side(wanted.withColumnsRenamed({"doc_id": "_id", "text_hash": "_of"}))
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_of"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(asked, here).select("root", "node", "text")
     return rows.mapInArrow(lean(build), "root long, node long, shingles array<long>")
 
 
-def _join_large(large: DataFrame, sizes: DataFrame) -> DataFrame:
+def _join_large(large: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the groups of more than ``BLOCK`` sets as all links would.
 
     The sets linked with the group's first one are connected; links are missing only from the
     others, which are joined with the whole group.
     """
-    pivots = large.join(F.broadcast(sizes.select("root", "pivot")), "root").filter("node = pivot").select("root", "pivot", F.col("shingles").alias("_pivot"))
+    pivots = large.join(small_side(sizes.select("root", "pivot")), "root").filter("node = pivot").select("root", "pivot", F.col("shingles").alias("_pivot"))
     shared = F.size(F.array_intersect("shingles", "_pivot"))
     compared = large.join(small_side(store(pivots.dropDuplicates(["root"]))), "root").withColumn(
-        "near", 100 * shared >= PERCENT * (F.size("shingles") + F.size("_pivot") - shared)
+        "near", 100 * shared >= percent * (F.size("shingles") + F.size("_pivot") - shared)
     )
     compared = store(compared.drop("_pivot"))
     near = compared.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
@@ -391,11 +394,11 @@ def _join_large(large: DataFrame, sizes: DataFrame) -> DataFrame:
         F.lit(1).alias("side"), "node", "shingles",
     )
     pairs = left.unionByName(whole).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node")
-    return near.union(pairs.mapInArrow(lean(_join_blocks), "a long, b long"))
+    return near.union(pairs.mapInArrow(lean(partial(_join_blocks, percent=percent)), "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node and component of every document, and its smallest member.
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Components by shingles of ``shingle`` words of which linked documents share ``percent``: doc_id, text_hash, n_shingles, node and component of every document, and its smallest member.
 
     ``text_hash`` is ``xxhash64`` of the text. ``component`` and ``first`` (doc_id, text_hash of the
     smallest member) are null for documents that are linked with none.
@@ -403,7 +406,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     emitted = store(
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        .mapInArrow(lean(_emit), f"doc_id {kind}, text_hash long, n long, node long, bucket long, least long")
+        .mapInArrow(lean(partial(_emit, shingle=shingle, percent=percent)), f"doc_id {kind}, text_hash long, n long, node long, bucket long, least long")
     )
     rows = emitted.filter("n is not null").select("doc_id", "text_hash", "n", "node")
     hung = (
@@ -412,17 +415,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     near = emitted.filter("least is not null").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = store(connected_components(hung.union(near)))
-    wanted = store(
-        rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(groups, "node").select("doc_id", "node", "root")
-    )
-    # Sets of rows without any doc_id can't be fetched by it, and need no component either.
-    sets = store(_sets_of(docs, wanted))
+    # A set is fetched from the row with the smallest doc_id, or from one without any.
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("h")
+    wanted = store(rows.groupBy("node").agg(holder).join(groups, "node").select("h.doc_id", "h.text_hash", "node", "root"))
+    sets = store(_sets_of(docs, wanted, shingle))
     sizes = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("n_sets"), F.min("node").alias("pivot"))
     big = store(sizes.filter(F.col("n_sets") > BLOCK))
     small = sets.join(small_side(big.select("root")), "root", "left_anti")
-    found = small.select("root", F.lit(0).alias("side"), "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(lean(_join_small), "a long, b long")
+    found = small.select("root", F.lit(0).alias("side"), "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(lean(partial(_join_small, percent=percent)), "a long, b long")
     if not big.isEmpty():
-        found = found.union(_join_large(sets.join(small_side(big.select("root")), "root", "left_semi"), big))
+        found = found.union(_join_large(sets.join(small_side(big.select("root")), "root", "left_semi"), big, percent))
     linked = connected_components(found)
     rows = rows.join(linked.select("node", "root"), "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     rows = store(rows)
@@ -435,12 +437,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest doc_id, then text hash.
 
     Rows that repeat both doc_id and text are one document. Texts without a word all stay.
     """
-    found = store(jaccard_components(docs))
+    found = store(jaccard_components(docs, shingle, percent))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     lost = small_side(store(found.filter(F.col("first").isNotNull() & ~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of")).distinct()))
     again = small_side(store(

@@ -26,7 +26,7 @@ def test_each_stage_on_its_predecessors_rows(spark, sf):
 def _firsts(docs):
     from llm.test_shingle_join import brute
 
-    for doc_id, _, component in brute(list(zip(docs.doc_id, docs.text, strict=True))):
+    for doc_id, _, component in brute(list(zip(docs.doc_id, docs.text, strict=True)), c.NEAR_WORDS, c.NEAR_PERCENT):
         if doc_id == component:
             yield doc_id
 

@@ -9,14 +9,14 @@ from snapsift.llm import shingle_join as j
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def shingles(text):
+def shingles(text, size=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return {tuple(w)} if 0 < len(w) < 4 else {tuple(w[i:i + 4]) for i in range(len(w) - 3)}
+    return {tuple(w)} if 0 < len(w) < size else {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
 
 
-def brute(rows):
+def brute(rows, size=4, percent=85):
     """component_id by position, of (doc_id, text)."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -25,7 +25,7 @@ def brute(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -54,11 +54,11 @@ def corpus(seed, families, size, lengths):
     return [(i * 7 % len(rows) if len(rows) % 7 else i, " ".join(w)) for i, w in enumerate(rows)]
 
 
-def components(spark, rows):
+def components(spark, rows, *rule):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = j.jaccard_components(df).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("c")).collect()
+    found = j.jaccard_components(df, *rule).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("c")).collect()
     return sorted((tuple(r) for r in found), key=repr)
 
 
@@ -69,6 +69,23 @@ def test_like_brute_force(spark, monkeypatch, block):
     assert components(spark, rows) == sorted(brute(rows), key=repr)
 
 
+@pytest.mark.parametrize("rule", [(5, 80), (2, 60)])
+def test_other_rules_like_brute_force(spark, rule):
+    rows = corpus(2, 10, 12, (4, 6, 9, 15, 40, 80, 200))
+    assert components(spark, rows, *rule) == sorted(brute(rows, *rule), key=repr)
+
+
+def test_links_through_rows_without_id(spark):
+    """Two texts are linked only by near copies that no row with an id holds."""
+    words = [f"n{i}" for i in range(100)]
+    steps = [" ".join([f"x{i}" for i in range(k)] + words[k:]) for k in (0, 4, 8, 12)]
+    rows = [(1, steps[0]), (None, steps[1]), (None, steps[2]), (4, steps[3])]
+    found = components(spark, rows)
+    assert found == sorted(brute(rows), key=repr) and {c for _, _, c in found} == {1}
+    kept = j.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [1]
+
+
 def test_odd_rows(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert components(spark, rows) == sorted(brute(rows), key=repr)
@@ -108,14 +125,15 @@ def test_trie_finds_what_sets_say(monkeypatch):
         assert set(found) == want and len(found) == len(want)
 
 
-def test_every_linked_pair_shares_a_bucket():
+@pytest.mark.parametrize("percent", [85, 80])
+def test_every_linked_pair_shares_a_bucket(percent):
     rng = np.random.default_rng(4)
     lost = 0
-    for _ in range(1500):
-        n = int(rng.integers(1, 130))
+    for _ in range(2500):
+        n = int(rng.integers(1, 130)) if rng.random() < 0.8 else int(rng.integers(130, 700))
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        most = int(len(a) * 0.15 / 1.85 * 2)
+        most = int(len(a) * (100 - percent) / (100 + percent) * 2)
         b = np.unique(np.concatenate([a[rng.permutation(len(a))[: max(1, len(a) - most // 2)]], rng.integers(0, 2**63, most // 2, dtype=np.uint64)]))
-        if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
-            lost += not set(j.bucket_keys(a)) & set(j.bucket_keys(b))
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            lost += not set(j.bucket_keys(a, percent)) & set(j.bucket_keys(b, percent))
     assert lost == 0

@@ -100,11 +100,17 @@ def average_ranks(spark, sf):
 
 @query("friedman_statistic", with_sql(MATRIX, """,
     f AS (SELECT (SELECT count(DISTINCT trial || snapshot || plate) FROM mat) AS n, 6 AS k, sum(avg_rank * avg_rank) AS s FROM ranks),
-    g AS (SELECT n, k, 12.0 * n / (k * (k + 1)) * (s - k * (k + 1) * (k + 1) / 4.0) AS chi FROM f)
-    SELECT n AS datasets, CAST(k AS BIGINT) AS algorithms, round(chi, 6) AS chi_square,
-      round((n - 1) * chi / (n * (k - 1) - chi), 6) AS f_statistic FROM g"""))
+    g AS (SELECT n, k, 12.0 * n / (k * (k + 1)) * (s - k * (k + 1) * (k + 1) / 4.0) AS chi FROM f),
+    h AS (SELECT *, (n - 1) * chi / (n * (k - 1) - chi) AS f, CAST((k - 1) * (n - 1) AS DOUBLE) AS under FROM g),
+    c AS (SELECT 1 - chi / 20000.0 * sum(CASE WHEN i IN (0, 20000) THEN 0.5 ELSE 1 END * pow(chi * i / 20000.0, 1.5) * exp(-chi * i / 40000.0))
+        / (pow(2, 2.5) * gamma(2.5)) AS p FROM h, range(20001) t(i) GROUP BY chi),
+    e AS (SELECT 1 - f / 20000.0 * sum(CASE WHEN i IN (0, 20000) THEN 0.5 ELSE 1 END * pow(f * i / 20000.0, 1.5) * pow(1 + 5 * (f * i / 20000.0) / under, -(5 + under) / 2))
+        / sum(60 / 20000.0 * CASE WHEN i IN (0, 20000) THEN 0.5 ELSE 1 END * pow(60 * i / 20000.0, 1.5) * pow(1 + 5 * (60 * i / 20000.0) / under, -(5 + under) / 2)) AS p
+      FROM h, range(20001) t(i) GROUP BY f)
+    SELECT n AS datasets, CAST(k AS BIGINT) AS algorithms, round(chi, 6) AS chi_square, round(f, 6) AS f_statistic,
+      abs(round(c.p, 5)) AS p_chi_square, abs(round(e.p, 5)) AS p_f FROM h, c, e"""))
 def friedman_statistic(spark, sf):
-    return rounded(compare.friedman_statistic(table(spark, sf), ALGS), "chi_square", "f_statistic")
+    return rounded(rounded(compare.friedman_statistic(table(spark, sf), ALGS), "chi_square", "f_statistic"), "p_chi_square", "p_f", places=5)
 
 
 WILCOXON = MATRIX + ["""
@@ -115,16 +121,34 @@ WILCOXON = MATRIX + ["""
       rank() OVER (PARTITION BY a, b ORDER BY abs(g)) + (count(*) OVER (PARTITION BY a, b, abs(g)) - 1) / 2.0 AS r FROM gap)""", """
     sums AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN g > 0 THEN r ELSE 0 END) AS wp,
       sum(CASE WHEN g < 0 THEN r ELSE 0 END) AS wm, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM gr GROUP BY a, b)""", """
-    zs AS (SELECT a, b, n, wp, wm, (least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM sums)"""]
+    zs AS (SELECT a, b, n, wp, wm, (least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z, ties FROM sums)"""]
 
 
 @query("pairwise_wilcoxon", with_sql(WILCOXON, """
-    SELECT a, b, CAST(n AS BIGINT) AS n, round(wp, 3) AS w_plus, round(wm, 3) AS w_minus, round(z, 6) AS z FROM zs"""))
+    SELECT a, b, CAST(n AS BIGINT) AS n, round(wp, 3) AS w_plus, round(wm, 3) AS w_minus, round(z, 6) AS z, n <= 25 AND ties = 0 AS exact FROM zs"""))
 def pairwise_wilcoxon(spark, sf):
     sums = compare.pairwise_wilcoxon(table(spark, sf), ALGS).drop("p")
     return rounded(rounded(sums, "w_plus", "w_minus", places=3), "z")
 
 
+@query("wilcoxon_exact", with_sql([fx.COMPARISONS_SQL, """
+    mean AS (SELECT plate, algorithm, round(avg(auroc), 9) AS auroc FROM cmp GROUP BY ALL)""", """
+    gap AS (SELECT x.algorithm AS a, y.algorithm AS b, round(x.auroc - y.auroc, 12) AS g FROM mean x JOIN mean y
+      ON x.plate = y.plate AND x.algorithm < y.algorithm WHERE round(x.auroc - y.auroc, 12) <> 0)""", """
+    gr AS (SELECT a, b, g, row_number() OVER (PARTITION BY a, b ORDER BY abs(g)) AS r FROM gap)""", """
+    sums AS (SELECT a, b, count(*) AS n, sum(CASE WHEN g > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN g < 0 THEN r ELSE 0 END) AS wm,
+      count(DISTINCT abs(g)) = count(*) AS exact FROM gr GROUP BY a, b)""", """
+    pattern AS (SELECT n, s, sum(CASE WHEN (s >> (r - 1)) & 1 = 1 THEN r ELSE 0 END) AS w
+      FROM (SELECT DISTINCT n FROM sums), range(2048) t(s), range(1, 12) u(r) WHERE s < (1 << n) AND r <= n GROUP BY n, s)"""], """
+    SELECT a, b, n, CAST(wp AS DOUBLE) AS w_plus, CAST(wm AS DOUBLE) AS w_minus, exact,
+      round(least(1, 2 * (SELECT count(*) FROM pattern q WHERE q.n = sums.n AND q.w <= least(wp, wm)) / pow(2, n)), 9) AS p FROM sums"""))
+def wilcoxon_exact(spark, sf):
+    """Detectors compared by their means on each plate: few datasets, so p is counted, not approximated."""
+    means = fx.comparisons(spark, sf).groupBy("plate", "algorithm").agg(F.round(F.avg("auroc"), 9).alias("auroc"))
+    tested = compare.pairwise_wilcoxon(means.select(F.lit("all").alias("trial"), F.lit("all").alias("snapshot"), "plate", "algorithm", "auroc"), ALGS)
+    return tested.drop("z").withColumn("p", F.round("p", 9))
+
+
 # normal tail p-values by the trapezoid rule on 4000 steps: exact to more than six places
 HOLM = WILCOXON + ["""
     tail AS (SELECT a, b, 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 0.5 ELSE 1 END

@@ -249,6 +249,17 @@ def score_ocsvm(spark, sf):
     return scored(ocsvm.score_ocsvm(plates(spark, sf)), 5)
 
 
+#: One setting per kernel.
+OCSVM_SETTINGS = [(0.5, "linear"), (0.3, "poly"), (0.1, "rbf"), (0.5, "rbf"), (0.5, "sigmoid")]
+
+
+@query("ocsvm_gaps")
+def ocsvm_gaps(spark, sf):
+    """Duality gap of the one-class machines on every plate."""
+    models = ocsvm.fit_ocsvm(plates(spark, sf), OCSVM_SETTINGS)
+    return ocsvm.ocsvm_gaps(models, OCSVM_SETTINGS)
+
+
 @query("score_candidate_pool")
 def score_candidate_pool(spark, sf):
     return scored(pool.score_candidate_pool(fx.vectors(spark, sf)), 5)

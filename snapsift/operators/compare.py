@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import only
+from ..functions.tails import chi_square_tail, f_tail
 from ..functions.running import WINDOW_ROWS, running_totals
 from ..functions.runtime import settle
 from ..functions.skew import small_side
@@ -115,7 +116,7 @@ def average_ranks(df: DataFrame, algorithms: list[str]) -> DataFrame:
 
 
 def friedman_statistic(df: DataFrame, algorithms: list[str]) -> DataFrame:
-    """Friedman chi-square and its F form (Demšar 2006), with degrees of freedom."""
+    """Friedman chi-square and its F form (Demšar 2006), each with its tail probability."""
     ranks = dataset_ranks(df, algorithms).groupBy("algorithm").agg(
         F.avg("rank").alias("r"), F.count(F.lit(1)).alias("n")
     )
@@ -131,6 +132,8 @@ def friedman_statistic(df: DataFrame, algorithms: list[str]) -> DataFrame:
                 (F.col("datasets") - 1) * F.col("chi_square"), F.col("datasets") * (k - 1) - F.col("chi_square")
             ),
         )
+        .withColumn("p_chi_square", chi_square_tail(F.col("chi_square"), len(algorithms) - 1))
+        .withColumn("p_f", f_tail(F.col("f_statistic"), F.lit(k - 1), (k - 1) * (F.col("datasets") - 1)))
     )
 
 
@@ -165,10 +168,36 @@ def wilcoxon_sums(df: DataFrame, algorithms: list[str], window_rows: int = WINDO
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, F.sqrt(variance))
-    tested = sums.select("a", "b", "n", "w_plus", "w_minus", z.alias("z"))
+    tested = sums.select("a", "b", "n", "w_plus", "w_minus", z.alias("z"), (F.col("_ties") > 0).alias("ties"))
     pairs = [(a, b) for i, a in enumerate(algorithms) for b in algorithms[i + 1 :]]
     every = df.sparkSession.createDataFrame(pairs, "a string, b string")
-    return every.join(tested, ["a", "b"], "left").fillna(0, ["n", "w_plus", "w_minus"])
+    return every.join(tested, ["a", "b"], "left").fillna(0, ["n", "w_plus", "w_minus"]).fillna(False, ["ties"])
+
+
+#: Up to so many differing datasets, and without ties among the differences, p is exact.
+EXACT_DATASETS = 25
+
+
+def signed_rank_counts(n: int) -> list[int]:
+    """Number of sign patterns of the ranks 1..n for every sum of positive ranks, by adding one rank after the other."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        more = [0] * rank + counts
+        counts = [a + b for a, b in zip(counts + [0] * rank, more, strict=True)]
+    return counts
+
+
+def exact_tails(most: int) -> list[list[float]]:
+    """For each n up to ``most``, the two-sided p of every smaller signed-rank sum."""
+    tails = []
+    for n in range(most + 1):
+        counts = signed_rank_counts(n)
+        below, row = 0, []
+        for c in counts[: n * (n + 1) // 4 + 1]:
+            below += c
+            row.append(min(1.0, 2 * below / 2**n))
+        tails.append(row)
+    return tails
 
 
 @F.pandas_udf(T.DoubleType())
@@ -177,10 +206,18 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else np.nan)
 
 
-def pairwise_wilcoxon(df: DataFrame, algorithms: list[str]) -> DataFrame:
-    """Sums, z and two-sided p of every pair; p is 1 where no dataset differs."""
-    p = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(two_sided_p("z"))
-    return wilcoxon_sums(df, algorithms).withColumn("p", p)
+def pairwise_wilcoxon(df: DataFrame, algorithms: list[str], exact: int = EXACT_DATASETS) -> DataFrame:
+    """Sums, z and two-sided p of every pair; p is 1 where no dataset differs.
+
+    With at most ``exact`` differing datasets and no ties, p comes from the null distribution of the
+    smaller sum (``exact`` is true); otherwise from z.
+    """
+    sums = wilcoxon_sums(df, algorithms)
+    few = (F.col("n") <= exact) & ~F.col("ties")
+    table = F.array(*[F.array(*[F.lit(p) for p in row]) for row in exact_tails(exact)])
+    known = F.get(F.get(table, F.col("n").cast("int")), F.least("w_plus", "w_minus").cast("int"))
+    p = F.when(F.col("n") == 0, F.lit(1.0)).when(few, known).otherwise(two_sided_p("z"))
+    return sums.withColumn("p", p).withColumn("exact", few).drop("ties")
 
 
 def holm_adjust(tests: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -193,10 +230,20 @@ def holm_adjust(tests: DataFrame, by: list[str] = ()) -> DataFrame:
     return step.withColumn("p_adjusted", F.least(running, F.lit(1.0))).drop("_scaled")
 
 
+def gate_pairs(tests: DataFrame, overall: DataFrame, alpha: float = 0.05, column: str = "p_f") -> DataFrame:
+    """Pairwise tests that count only if the overall test is significant; otherwise all adjusted p are 1.
+
+    ``overall`` is the one row of :func:`friedman_statistic`. A missing p, from ranks that are the same on
+    all datasets, is significant.
+    """
+    p = overall.select(F.coalesce(column, F.lit(0.0)).alias("p")).first()
+    return tests if p is not None and p["p"] < alpha else tests.withColumn("p_adjusted", F.lit(1.0))
+
+
 def indistinguishable_groups(ranks: DataFrame, tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Maximal runs of algorithms, in rank order, without a significant pair.
 
-    ``(first, last, size, members)``; input is one row per algorithm and per pair.
+    ``(first, last, size, members)``; input is one row per algorithm and per pair (see :func:`gate_pairs`).
     """
     placed = settle(ranks.withColumn(
         "position", F.row_number().over(W.orderBy("avg_rank", "algorithm")).cast("long")))

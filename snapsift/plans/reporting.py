@@ -63,11 +63,12 @@ def report(spark: SparkSession, root: str, output: str | None = None) -> dict[st
     ranks = settle(compare.average_ranks(rows, names))
     best = compare.best_algorithm(ranks).first()["algorithm"]
     tests = settle(compare.holm_adjust(compare.pairwise_wilcoxon(rows, names)))
+    overall = settle(compare.friedman_statistic(rows, names))
     summary = compare.trial_summary(rows, best)
     out = {
         "any_significant": compare.any_significant(rows), "significant_histogram": compare.significant_histogram(rows),
-        "average_ranks": ranks, "friedman": compare.friedman_statistic(rows, names), "pairwise": tests,
-        "groups": compare.indistinguishable_groups(ranks, tests), "mean_performance": compare.mean_performance(rows, names),
+        "average_ranks": ranks, "friedman": overall, "pairwise": tests,
+        "groups": compare.indistinguishable_groups(ranks, compare.gate_pairs(tests, overall)), "mean_performance": compare.mean_performance(rows, names),
         "best_significance": compare.best_significance(rows, best), "best_loses": compare.best_loses(rows, best),
         "winner_breakdown": compare.winner_breakdown(rows, names), "snapshot_success": compare.snapshot_success(rows),
         "irregularity_distribution": compare.irregularity_distribution(rows),

@@ -2,7 +2,7 @@
 
 A shingle is ``SHINGLE`` consecutive words (the whole text if it has fewer); its hash is the first
 ``HASH_DIGITS`` hexadecimal digits of its MD5. A sketch retains every distinct hash below
-``FRACTION`` of the range, so that sketches of documents of any size keep the same hashes of what
+``THRESHOLD``, a sixteenth of the range, so that sketches of documents of any size keep the same hashes of what
 they share: the sketch of a union is made of the sketches alone, and containment is estimated even
 between a sentence and a book. Texts with fewer than ``LEAST`` hashes below the threshold keep their
 ``LEAST`` lowest, which merge as well.
@@ -32,8 +32,7 @@ from .registry import query, table
 #: Words of a shingle.
 SHINGLE = 5
 HASH_DIGITS = 16
-#: Share of all hashes that a sketch retains, one over a power of 16; the threshold in digits.
-FRACTION = 1 / 16
+#: Hashes below these first digits are retained: one in sixteen.
 THRESHOLD = "1"
 #: Hashes that a sketch keeps at least, if its text has so many.
 LEAST = 16

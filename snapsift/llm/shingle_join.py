@@ -44,6 +44,8 @@ SHINGLE = 4
 PERCENT = 85
 #: Sets of a group that are joined in one trie.
 BLOCK = 512
+#: Shingles of a block of a larger group, about: sets move once per block that they meet.
+BLOCK_SHINGLES = 1 << 19
 
 
 def _size_class(n: int, percent: int = PERCENT) -> tuple[int, int]:
@@ -381,8 +383,10 @@ def _join_large(large: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     )
     compared = store(compared.drop("_pivot"))
     near = compared.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    counts = store(compared.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("n_left")).filter("n_left > 0").select(
-        "root", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("n_left") / BLOCK).alias("left_blocks"),
+    size = F.size("shingles")
+    blocks = lambda total: F.greatest(F.ceil(total / BLOCK_SHINGLES), F.lit(1))
+    counts = store(compared.groupBy("root").agg(F.sum(size).alias("n"), F.coalesce(F.sum(F.when(~F.col("near"), size)), F.lit(0)).alias("n_left")).filter("n_left > 0").select(
+        "root", blocks(F.col("n")).alias("blocks"), blocks(F.col("n_left")).alias("left_blocks"),
     ))
     blocked = compared.join(small_side(counts), "root").withColumn("_draw", F.xxhash64("node"))
     left = blocked.filter(~F.col("near")).select(

@@ -65,6 +65,8 @@ def components(spark, rows, *rule):
 @pytest.mark.parametrize("block", [j.BLOCK, 6])
 def test_like_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(j, "BLOCK", block)
+    if block == 6:
+        monkeypatch.setattr(j, "BLOCK_SHINGLES", 400)
     rows = corpus(1, 12, 14, (4, 6, 9, 15, 40, 80, 200))
     assert components(spark, rows) == sorted(brute(rows), key=repr)
 

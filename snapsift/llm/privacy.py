@@ -32,6 +32,8 @@ TERM = "term"
 #: Share of an entity's information that a term may disclose.
 ALPHA = 0.75
 LEAST_TOGETHER = 3
+#: Pairs of entities and terms that one row makes in one task.
+ROW_PAIRS = 1_000_000
 
 _LOCAL, _DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 _PATTERNS = {
@@ -136,36 +138,73 @@ def _plain_words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))), lambda w: F.lower(w)))
 
 
-def _terms(text: Column, spans: Column) -> Column:
-    """The distinct free words; without spans all words are, and no places are needed."""
-    placed = F.transform(free_words(text, spans), lambda w: w["term"])
-    return F.when(F.size(spans) > 0, F.array_distinct(placed)).otherwise(_plain_words(text))
+def _folded(text: Column) -> Column:
+    """Lower case in which a word looks the same inside a text and alone; only the final sigma doesn't."""
+    return F.translate(F.lower(text), "\u03c2", "\u03c3")
 
 
-def disclosing_terms(based: DataFrame) -> DataFrame:
-    """(entity, term) pairs above the disclosure threshold, from ``text`` and ``_spans`` of all documents.
+def term_places(text: Column, spans: Column, terms: Column) -> Column:
+    """Places of the ``terms`` that no span covers: (start, end, term). Parts without a term are not taken apart."""
+    def holding(doc: Column) -> Column:
+        parts = F.transform(_located(doc["text"], _PART, F.length(doc["text"]) > 0), lambda c: F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), _folded(c["value"]).alias("folded"),
+        ))
+        return F.filter(parts, lambda c: F.exists(doc["folded"], lambda t: F.contains(c["folded"], t)))
+
+    def words(doc: Column, part: Column) -> Column:
+        placed = F.transform(_located(part["value"], _WORD, F.lit(True)), lambda w: F.struct(
+            (part["start"] + w["start"]).alias("start"), (part["start"] + w["end"]).alias("end"), F.lower(w["value"]).alias("term"),
+        ))
+        return F.filter(placed, lambda w: F.array_contains(doc["terms"], w["term"]) & ~_overlap(doc["spans"], w))
+
+    docs = F.array(F.struct(text.alias("text"), spans.alias("spans"), terms.alias("terms"), F.transform(terms, _folded).alias("folded")))
+    return F.flatten(F.transform(docs, lambda doc: F.flatten(F.transform(holding(doc), lambda part: words(doc, part)))))
+
+
+def protected(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold entities, stored: ``_id``, ``_of`` (hash of the text), their ``_spans``
+    and ``entities``, the free ``terms``, and the words that stand in spans only (``covered``)."""
+    # A generated column is computed once; a projected one would be again in the filter.
+    based = docs.select(
+        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_of"),
+        F.inline(F.array(F.struct(F.col("text").alias("text"), base_spans(F.col("text")).alias("_spans")))),
+    ).filter(F.size("_spans") > 0)
+    placed = based.withColumn("terms", F.array_distinct(F.transform(free_words(F.col("text"), F.col("_spans")), lambda w: w["term"])))
+    return store(placed.select(
+        F.monotonically_increasing_id().alias("row"), "_id", "_of", "_spans", "terms", F.array_except(_plain_words(F.col("text")), "terms").alias("covered"),
+        F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("entities"),
+    ))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(entity, term) pairs above the disclosure threshold, from all documents and their ``protected`` rows.
 
     A pair passes only with n_term <= n_both / p(c) ** (1 - ALPHA) and n_both <= n_entity, so pairs
     are made of the entities and terms alone whose own counts allow it.
     """
-    found = store(based.filter(F.size("_spans") > 0).select(
-        F.monotonically_increasing_id().alias("row"), _terms(F.col("text"), F.col("_spans")).alias("terms"),
-        F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))).alias("entities"),
-    ))
-    n_docs = max(based.count(), 1)
-    held = found.select("row", F.explode("entities").alias("entity"))
+    n_docs = max(docs.count(), 1)
+    # A row with many entities and many terms is dealt to several tasks by its terms.
+    parts = F.ceil(F.size("entities").cast("double") * F.size("terms") / ROW_PAIRS).cast("int")
+    rows = found.withColumn("parts", F.greatest(parts, F.lit(1)))
+    held = rows.select("row", "parts", F.explode("entities").alias("entity"))
     entities = store(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= LEAST_TOGETHER))
     most = entities.agg(F.max("n_entity")).first()[0] or 0
     possible = lambda n_both, n_entity: F.log(n_both / F.col("n_term")) >= (1 - ALPHA) * F.log(n_entity / F.lit(n_docs))
     # Words of too few documents with an entity, or of too many documents, can't pass.
-    near = found.select("row", F.explode("terms").alias("term"))
+    near = rows.select("row", "parts", F.explode("terms").alias("term"))
     candidates = store(near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TOGETHER).select("term"))
-    words = based.select(F.explode(_terms(F.col("text"), F.col("_spans"))).alias("term"))
+    # A document counts for a word it holds outside its spans.
+    words = docs.select(F.explode(_plain_words(F.col("text"))).alias("term"), F.lit(1).alias("n")).union(
+        found.select(F.explode("covered").alias("term"), F.lit(-1).alias("n")))
     counts = store(
-        words.join(small_side(candidates), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+        words.join(small_side(candidates), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
         .filter(possible(F.lit(most), F.lit(most)))
     )
-    both = held.join(small_side(entities), "entity").join(near.join(small_side(counts), "term"), "row").filter(possible(F.col("n_entity"), F.col("n_entity")))
+    sides = (
+        held.join(small_side(entities), "entity").select("row", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "entity", "n_entity"),
+        near.join(small_side(counts), "term").select("row", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"), "term", "n_term"),
+    )
+    both = sides[0].join(sides[1], ["row", "part"]).filter(possible(F.col("n_entity"), F.col("n_entity")))
     return (
         both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
         .filter((F.col("n_both") >= LEAST_TOGETHER) & possible(F.col("n_both"), F.col("n_entity"))).select("entity", "term")
@@ -175,26 +214,23 @@ def disclosing_terms(based: DataFrame) -> DataFrame:
 def annotate(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` as ``_row``, with all its ``spans`` (start, rank, kind, end)."""
     keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
-    based = keyed.withColumn("_spans", F.coalesce(base_spans(F.col("text")), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")))
-    disclosing = store(disclosing_terms(based).select("term").distinct())
-    # Places are only looked for in documents that hold such a term.
-    holders = store(
-        based.select("doc_id", "_hash", F.explode(_plain_words(F.col("text"))).alias("term")).join(small_side(disclosing), "term", "left_semi")
-        .select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).distinct()
-    )
+    found = protected(docs)
+    disclosing = store(disclosing_terms(docs, found).select("term").distinct())
+    # One small row per document with spans or disclosing terms; texts are looked through in place.
+    holders = keyed.select("doc_id", "_hash", F.explode(_plain_words(F.col("text"))).alias("term")).join(small_side(disclosing), "term", "left_semi")
+    marks = small_side(store(
+        found.select("_id", "_of", "_spans", F.lit(None).cast("string").alias("term"))
+        .union(holders.select("doc_id", "_hash", F.lit(None).cast(found.schema["_spans"].dataType), "term"))
+        .groupBy("_id", "_of").agg(F.first("_spans", ignorenulls=True).alias("_spans"), F.collect_set("term").alias("_terms"))
+    ))
     here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
-    flagged = (
-        based.join(small_side(holders), here, "left_semi").select("doc_id", "_hash", F.explode(free_words(F.col("text"), F.col("_spans"))).alias("t"))
-        .select("doc_id", "_hash", "t.*").join(small_side(disclosing), "term", "left_semi")
-        .groupBy("doc_id", "_hash")
-        .agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), "end")).alias("_terms"))
-    )
-    flagged = small_side(store(flagged.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of"), "_terms")))
+    spans = F.coalesce("_spans", F.array().cast(found.schema["_spans"].dataType))
+    marked = keyed.join(marks, here, "left").select("_row", "text", "_terms", spans.alias("_spans"))
     plain = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return based.join(flagged, here, "left").select(
-        "_row", F.array_sort(F.concat(plain, F.coalesce("_terms", none))).alias("spans")
-    )
+    placed = F.transform(term_places(F.col("text"), F.col("_spans"), F.col("_terms")), lambda w: F.struct(
+        w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit(TERM).alias("kind"), w["end"].alias("end"),
+    ))
+    return marked.select("_row", F.when(F.size("_terms") > 0, F.array_sort(F.concat(plain, placed))).otherwise(plain).alias("spans"))
 
 
 def replaced(text: Column, spans: Column) -> Column:

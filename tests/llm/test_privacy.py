@@ -97,7 +97,7 @@ def test_pairs_like_all_pairs(spark):
         words += [f"n{k}" for k in range(8) if i % 40 == k]
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
-    based = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_spans", p.base_spans(p.F.col("text")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     held = []
     for _, text in rows:
         spans = [s for s in plain(text) if s[2] == "email"]
@@ -110,4 +110,23 @@ def test_pairs_like_all_pairs(spark):
             n_term, n_both = sum(t in f for _, f in held), sum(e in x and t in f for x, f in held)
             if n_both >= p.LEAST_TOGETHER and math.log(n_both / n_term) >= (1 - p.ALPHA) * math.log(n_entity / len(rows)):
                 want.add((e, t))
-    assert want and {tuple(r) for r in p.disclosing_terms(based).collect()} == want
+    assert want and {tuple(r) for r in p.disclosing_terms(docs, p.protected(docs)).collect()} == want
+
+
+def test_rows_dealt_by_their_terms(spark, monkeypatch):
+    rows = [(i, f"a{i % 3} b{i % 4} c x{i % 5}@y.de z{i % 2}@y.de " + " ".join(f"w{i % 5}v{k}" for k in range(9))) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(i, f"text c {i}") for i in range(40, 90)], "doc_id long, text string")
+    found = p.protected(docs)
+    whole = {tuple(r) for r in p.disclosing_terms(docs, found).collect()}
+    monkeypatch.setattr(p, "ROW_PAIRS", 5)
+    assert whole and {tuple(r) for r in p.disclosing_terms(docs, found).collect()} == whole
+
+
+def test_term_places_like_free_words(spark):
+    # Sigma at a word's end is written otherwise alone; dotted I grows in lower case.
+    text = "\u0391\u03a3.\u0391 \u0391\u03a3 \u0130x zorro's zorros a@zorro.de Zorro " + "fill " * 200 + "ZORRO"
+    docs = spark.createDataFrame([(1, text, ["zorro", "\u03b1\u03c2", "i\u0307x"])], "doc_id long, text string, terms array<string>")
+    row = docs.withColumn("s", p.base_spans(p.F.col("text"))).select(
+        p.term_places(p.F.col("text"), p.F.col("s"), p.F.col("terms")).alias("got"), p.free_words(p.F.col("text"), p.F.col("s")).alias("free"), "terms").first()
+    want = [tuple(w) for w in row.free if w.term in row.terms]
+    assert len(want) >= 5 and [tuple(w) for w in row.got] == want

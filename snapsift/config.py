@@ -74,6 +74,8 @@ class StudyConfig:
     label_exclude_fields: tuple[str, ...] = ()
     column_threshold: float = COLUMN_CHANGE_FRACTION
     record_threshold: float = RECORD_CHANGE_FRACTION
+    #: Whether columns left out of the labels leave the features too.
+    drop_excluded: bool = True
 
     @classmethod
     def from_toml(cls, path: str) -> "StudyConfig":
@@ -101,6 +103,7 @@ class StudyConfig:
             label_exclude_fields=tuple(labelling.get("exclude_fields", ())),
             column_threshold=labelling.get("column_threshold", COLUMN_CHANGE_FRACTION),
             record_threshold=labelling.get("record_threshold", RECORD_CHANGE_FRACTION),
+            drop_excluded=bool(labelling.get("drop_excluded", True)),
         )
 
     def snapshot_root(self, snapshot: str) -> str:

@@ -268,7 +268,7 @@ def process_table(
     """Compare one table and store its long cells at ``path``, in a job of its own.
 
     Returns its diff, or its failure row. Whatever goes wrong with one table is that table's
-    failure: reading errors, and plans or results too large for Spark.
+    failure: reading errors, and plans or results too large for Spark; its row keeps Spark's message.
     """
     try:
         if table in study.exclude_tables:
@@ -284,7 +284,7 @@ def process_table(
         return None, failure_row(study.name, snapshot, table, failure)
     except (PySparkException, Py4JError) as error:
         kind = "DataFrameTooLarge" if TOO_LARGE.search(str(error)) else "DataFrameLoadingException"
-        return None, failure_row(study.name, snapshot, table, TableFailure(kind))
+        return None, failure_row(study.name, snapshot, table, TableFailure(kind, str(error)))
 
 
 def text_key(key: list[str]) -> Column:

@@ -98,11 +98,13 @@ def derive_labels(
     exclude_fields: tuple[str, ...] = (),
     column_threshold: float = config.COLUMN_CHANGE_FRACTION,
     record_threshold: float = config.RECORD_CHANGE_FRACTION,
+    drop_excluded: bool = True,
 ) -> DataFrame:
     """Labelled records of all selected tables in one plan.
 
     Configured and derived exclusions are taken per table. Excluded columns leave the label
-    counts, the numeric features and the text columns.
+    counts, the numeric features and the text columns; without ``drop_excluded`` the counts only, and
+    the fraction of changes is taken over all columns.
     """
     by = ["snapshot", "table_name"]
     chosen = settle(guards.select_tables(status, valid, exclude_tables))
@@ -122,7 +124,10 @@ def derive_labels(
         .withColumn("_bad", F.coalesce("_bad", F.array().cast("array<string>")))
         .join(counts, [*by, "key"], "left")
     )
+    if not drop_excluded:
+        frame = frame.withColumn("_bad", F.array().cast("array<string>"))
     width = F.size(F.array_except("columns", "_bad"))
+
     def reliable(names, values):
         return F.filter(F.arrays_zip(names, values), lambda x: ~F.array_contains(F.col("_bad"), x[names]))
 
@@ -170,7 +175,7 @@ def run_study(
     valid = src.valid_tables(src.read_metadata(spark, study), study.metadata_column, status)
     labelled = derive_labels(
         cells, status, records, valid, study.label_exclude_tables, study.label_exclude_fields,
-        study.column_threshold, study.record_threshold,
+        study.column_threshold, study.record_threshold, study.drop_excluded,
     )
     src.write_labelled(labelled, f"{output}/derived")
 

@@ -1,10 +1,11 @@
 """Operator 3: quality rules judged by an isolation forest over their statistics.
 
 Word, symbol and repetition statistics are counted over whole texts, in the tasks that read them.
-An isolation forest (random splits over subsamples) is fitted on a bounded sample of labelled rows,
-``FIT_ROWS`` of them; the anomaly score of a document is ``2 ** -(mean path length / expected path
-length)``. The threshold is calibrated on those of these rows that pass the base rule: the lowest
-score that rejects at most ``MOST_GOOD_LOST`` of the good ones (quality 1). Statistics and scores cover every document.
+An isolation forest is grown over all labelled rows: each tree splits a subsample of ``SUBSAMPLE`` of
+them at random, as the method has it, and each row has the same chance in each tree. The anomaly score
+of a document is ``2 ** -(mean path length / expected path length)``. The threshold is the exact one of
+all labelled rows that pass the base rule: the lowest score that rejects at most ``MOST_GOOD_LOST`` of
+the good ones (quality 1). Statistics and scores cover every document.
 
 Defined results: null or wordless text has zeros throughout and fails the base rule; repeated
 doc_ids are scored row by row, and their best label counts; without labelled rows no document is
@@ -18,9 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.running import running_totals
 from ..functions.runtime import store
 from .registry import query, table
 from .words import SPACED, combine, lean, mix, pieces, window_hashes, window_starts
@@ -29,8 +32,6 @@ from .words import SPACED, combine, lean, mix, pieces, window_hashes, window_sta
 REPEAT_WINDOW = 3
 #: Base rule: fewest words, and most percent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Labelled rows that the forest and its threshold are fitted on, about.
-FIT_ROWS = 20_000
 TREES, SUBSAMPLE, SEED = 100, 256, 7
 #: Share of the good labelled rows that the threshold may reject.
 MOST_GOOD_LOST = 0.002
@@ -106,11 +107,11 @@ def expected_path(n: float) -> float:
 
 
 class IsolationForest:
-    """Random axis splits over subsamples; trees are arrays of nodes."""
+    """Random axis splits over one subsample per tree; trees are arrays of nodes."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, samples: list[np.ndarray], seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.size = min(subsample, len(rows))
+        self.size = max(map(len, samples), default=0)
         depth = int(np.ceil(np.log2(max(self.size, 2))))
         self.roots, nodes = [], []
 
@@ -127,8 +128,8 @@ class IsolationForest:
                 nodes[at][3] = grow(part[~left], level + 1)
             return at
 
-        for _ in range(trees if len(rows) else 0):
-            self.roots.append(grow(rows[rng.choice(len(rows), self.size, replace=False)], 0))
+        for rows in samples:
+            self.roots.append(grow(rows, 0))
         columns = list(zip(*nodes, strict=True)) or [()] * 5
         self.feature, self.left, self.right = (np.array(columns[i], np.int32) for i in (0, 2, 3))
         self.cut, self.path = np.array(columns[1], float), np.array(columns[4], float)
@@ -150,34 +151,61 @@ class IsolationForest:
         return 2.0 ** -(total / len(self.roots) / max(expected_path(self.size), 1e-9))
 
 
-def fit_forest(counts: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[IsolationForest, float]:
-    """Forest and threshold from about ``fit_rows`` labelled rows, chosen by a hash of doc_id."""
-    labels = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = min(1.0, fit_rows / max(labels.count(), 1))
-    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = counts.join(chosen, "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", *STATISTICS]).reset_index(drop=True)
-    x = features(rows)
-    forest = IsolationForest(x)
-    calm = ~((rows["n_words"] < LEAST_WORDS) | (100 * rows["n_repeat_words"] > MOST_REPEATED * rows["n_words"]))
-    good = np.sort(forest.score(x[((rows["quality"] == 1) & calm).to_numpy()]))[::-1]
-    return forest, float(good[int(MOST_GOOD_LOST * len(good))]) if len(good) else 1.0
+def tree_samples(labelled: DataFrame, rows: int, trees: int = TREES, subsample: int = SUBSAMPLE) -> DataFrame:
+    """tree and ``STATISTICS``: ``subsample`` of the ``rows`` labelled rows for each tree.
 
+    A row enters a tree's draw when its hash is below a rate that leaves a little more than the
+    subsample, and the smallest hashes win; so what is sorted does not grow with the rows. Equal rows
+    are numbered and drawn apart.
+    """
+    rate = min(1.0, (subsample + 8 * subsample**0.5) / max(rows, 1))
+    some = min(1.0, rate * trees)
+
+    def draw(*of: Column) -> Column:
+        return F.pmod(F.xxhash64("doc_id", *STATISTICS, "_copy", *of, F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    copy = F.row_number().over(W.partitionBy("doc_id", *STATISTICS).orderBy("quality"))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < rate / some)
+    drawn = labelled.withColumn("_copy", copy).filter(draw(F.lit(-1)) < some).withColumn("tree", F.explode(chosen))
+    order = W.partitionBy("tree").orderBy(draw(F.col("tree")), "doc_id", *STATISTICS, "_copy")
+    return drawn.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= subsample).drop("_place")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
-def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, ``STATISTICS``, base_failed, score and kept of every document."""
-    counts = store(rule_statistics(docs))
-    forest, threshold = fit_forest(counts, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+def fit_forest(counts: DataFrame, labels: DataFrame) -> tuple[Column, float]:
+    """Score of a row of ``counts``, and its threshold, from all labelled rows."""
+    labels = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labelled = store(counts.join(labels, "doc_id"))
+    # at most TREES * SUBSAMPLE rows
+    drawn = tree_samples(labelled, labelled.count()).toPandas().sort_values(["tree", "doc_id", *STATISTICS])
+    forest = IsolationForest([features(rows) for _, rows in drawn.groupby("tree")])
+    shared = counts.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(features(pd.DataFrame(dict(zip(STATISTICS, columns, strict=True))))))
 
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    good = labelled.filter((F.col("quality") == 1) & ~base_failed()).select(score(*STATISTICS).alias("score"))
+    good = store(good.groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0)))
+    total, distinct = good.agg(F.sum("n"), F.count("n")).first()
+    if not total:
+        return score(*STATISTICS), 1.0
+    running = running_totals(good, ["all"], "score", {"upto": "n"}, distinct)
+    at_least = F.lit(total) - F.col("upto") + F.col("n")
+    threshold = running.filter(at_least > int(MOST_GOOD_LOST * total)).agg(F.max("score")).first()[0]
+    return score(*STATISTICS), float(threshold)
+
+
+def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, ``STATISTICS``, base_failed, score and kept of every document."""
+    counts = store(rule_statistics(docs))
+    score, threshold = fit_forest(counts, labels)
     return (
-        counts.withColumn("base_failed", failed)
-        .withColumn("score", score(*STATISTICS))
+        counts.withColumn("base_failed", base_failed())
+        .withColumn("score", score)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") <= threshold))
     )
 

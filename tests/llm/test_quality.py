@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from snapsift.llm import quality as q
 
@@ -44,3 +45,24 @@ def test_odd_rows_and_empty_tables(odd, empty, spark):
     unlabelled = q.judge_quality(odd, labels.limit(0)).toPandas()
     assert (unlabelled.kept == ~unlabelled.base_failed).all()
     assert q.judge_quality(empty, labels).count() == 0
+
+
+def test_the_threshold_and_the_trees_come_from_all_labelled_rows(spark):
+    rows = [(i, 60 + i % 900, 300 + i % 700, i % 5, 0, 0) for i in range(30_000)]
+    counts = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{x} long" for x in q.STATISTICS))
+    labels = counts.selectExpr("doc_id", "1 as quality")
+    score, threshold = q.fit_forest(counts, labels)
+    rejected = counts.filter(score > threshold).count()
+    at_least = counts.filter(score >= threshold).count()
+    assert rejected <= q.MOST_GOOD_LOST * 30_000 < at_least
+    drawn = q.tree_samples(counts.withColumn("quality", F.lit(1)), 30_000)
+    assert {r["n"] for r in drawn.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()} == {q.SUBSAMPLE}
+    # draws from 20,000 rows would hold about 14,400 different ones
+    assert drawn.select("doc_id").distinct().count() > 16_000
+
+
+def test_copies_of_a_row_are_drawn_apart(spark):
+    rows = [(1, 70, 300, 0, 0, 0, 1)] * 5_000 + [(i, 60 + i, 300, 0, 0, 0, 1) for i in range(2, 5_002)]
+    labelled = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{x} long" for x in q.STATISTICS) + ", quality int")
+    share = q.tree_samples(labelled, 10_000).groupBy("tree").agg(F.avg(F.expr("cast(doc_id = 1 as int)")).alias("s"))
+    assert all(0.3 < r["s"] < 0.7 for r in share.collect())

@@ -11,16 +11,21 @@ from ..operators.detectors import ann, ecod, hbos, iforest, loda, neighbors, ocs
 from .registry import query, shared, with_sql
 
 
-def raw_plates(spark, sf):
+def raw_plates(spark, sf, rows=None):
     return preprocess.to_plates(
-        fx.plate_table(spark, sf), "dataset", "rec_id", "y", fx.PLATE_FEATURES
+        fx.plate_table(spark, sf, rows), "dataset", "rec_id", "y", fx.PLATE_FEATURES
     )
 
 
 def plates(spark, sf):
-    """Stored records of the plates, as detectors read them."""
+    """Stored records of the plates, as detectors read them; they stay where their numbering has put them."""
     rows = fx.load(spark, sf, "lineitem").count()
-    return shared(spark, sf, "plates", lambda: store_records(preprocess.preprocess_plates(raw_plates(spark, sf)), rows))
+
+    def build():
+        profile = preprocess.feature_profile(raw_plates(spark, sf))
+        return store_records(preprocess.preprocess_plates(raw_plates(spark, sf, rows), profile=profile), rows, placed=True)
+
+    return shared(spark, sf, "plates", build)
 
 
 def scored(df, places=6):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.runtime import store
+from .functions.runtime import spread, store
 
 ORDER_VALUES = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 ORDER_KEY = ["centre", "id"]
@@ -83,15 +83,17 @@ ORDERS_SQL = _ORDERS
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-def line_form(spark: SparkSession, sf: str) -> DataFrame:
+def line_form(spark: SparkSession, sf: str, rows: int | None = None) -> DataFrame:
+    """Numbered lines; with their number ``rows`` given they are spread by id as stored records are."""
     # numbered by the name under which later steps group the form, so that they find it grouped
     w = W.partitionBy("id").orderBy(*_LINE_ORDER)
-    return load(spark, sf, "lineitem").select(
+    lines = load(spark, sf, "lineitem").select(
         (F.col("l_orderkey") % 20).cast("int").alias("centre"),
         F.col("l_orderkey").alias("id"),
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
-    ).select(
+    )
+    return (lines if rows is None else spread(lines, ["id"], rows)).select(
         "centre", "id", F.row_number().over(w).alias("dfseq"),
         "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
@@ -112,9 +114,9 @@ line_form AS (
 PLATE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
-def plate_table(spark: SparkSession, sf: str) -> DataFrame:
+def plate_table(spark: SparkSession, sf: str, rows: int | None = None) -> DataFrame:
     """Plates by return flag with missing tax values and a label."""
-    return line_form(spark, sf).select(
+    return line_form(spark, sf, rows).select(
         F.col("l_returnflag").alias("dataset"),
         (F.col("id") * 100 + F.col("dfseq")).alias("rec_id"),
         "l_quantity", "l_extendedprice", "l_discount",

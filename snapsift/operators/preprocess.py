@@ -86,9 +86,14 @@ def preprocess_plates(
     least_rows: int = config.PLATE_MIN_ROWS,
     least_columns: int = config.PLATE_MIN_COLUMNS,
     most_missing: float = config.MAX_MISSING_FRACTION,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Usable columns of usable datasets, imputed, for all plates in one plan."""
-    model = usable_datasets(feature_profile(plates), least_rows, least_columns, most_missing)
+    """Usable columns of usable datasets, imputed, for all plates in one plan.
+
+    ``profile`` is the :func:`feature_profile` of the same rows, when they need not be placed to be counted.
+    """
+    profile = feature_profile(plates) if profile is None else profile
+    model = usable_datasets(profile, least_rows, least_columns, most_missing)
     return _fill(plates, settle(model))
 
 

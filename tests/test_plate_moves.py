@@ -28,3 +28,14 @@ def test_plates_are_those_of_one_frame(spark, sf):
     registry.forget_shared()
     rows = lambda df: sorted(map(repr, df.select("dataset", "rec_id", "features", "y").collect()))
     assert rows(scoring.plates(spark, sf)) == rows(preprocess.preprocess_plates(scoring.raw_plates(spark, sf)))
+
+
+def test_joined_plates_are_spread_for_joins(spark, sf):
+    registry.forget_shared()
+
+    def by_record(records):
+        n = records.rdd.getNumPartitions()
+        return records.filter(f"spark_partition_id() <> pmod(hash(dataset, rec_id), {n})").isEmpty()
+
+    assert by_record(scoring.plates(spark, sf, joined=True)) and not by_record(scoring.plates(spark, sf))
+    registry.forget_shared()

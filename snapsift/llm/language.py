@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import small_side
 from .registry import query, table
-from .words import PIECE_BYTES, lean, text_bytes
+from .words import PIECE_BYTES, lean, text_apart, text_bytes, texts_of
 
 FIT_PER_LANG, MOST_FIT = 400, 4000
 LANDMARKS = 256
+#: Rows that a task sends back at once, with their texts.
+SENT_ROWS = 1000
 RIDGE = 1e-2
 #: Share of the sampled texts that must hold an n-gram for it to count.
 LEAST_SHARE = 0.01
@@ -160,28 +162,32 @@ def fit_languages(docs: DataFrame) -> KernelRidge:
 
 
 def identify_languages(docs: DataFrame, model: KernelRidge, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (doc_id), lang_pred and score of every document."""
+    """``carry`` columns (doc_id), lang_pred and score of every document.
+
+    Without a column ``text`` the last of ``carry`` holds whole rows with a field of that name.
+    """
     carry = ["doc_id"] if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = np.full(len(batch), "und", object), np.zeros(len(batch))
-            for first, n, doc, codes, letters in ngrams(batch.column(batch.num_columns - 1)) if shared.value.langs else ():
+            for first, n, doc, codes, letters in ngrams(texts_of(batch, batch.num_columns - 1)) if shared.value.langs else ():
                 best, score = shared.value.predict(n, doc, codes)
                 langs[first:first + n] = np.where(letters, np.array(shared.value.langs, object)[best], "und")
                 scores[first:first + n] = np.where(letters, score, 0)
-            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
+            columns = [*batch.columns[:len(carry)], pa.array(langs, pa.string()), pa.array(scores)]
+            found = pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:len(carry)], "lang_pred", "score"])
+            yield from (found.slice(at, SENT_ROWS) for at in range(0, len(found), SENT_ROWS))
 
-    kept = docs.select(*carry, F.col("text").alias("_text"))
+    kept = docs.select(*carry, *([F.col("text").alias("_text")] if text_apart(docs.columns) else []))
     kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in carry)
     return kept.mapInArrow(lean(predict), f"{kinds}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is found with a score of at least ``LEAST_SCORE``."""
-    rows = docs.select(F.struct("*").alias("_row"), "text")
+    rows = docs.select(F.struct("*").alias("_row"))
     found = identify_languages(rows, fit_languages(docs), ["_row"])
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 

@@ -1,4 +1,8 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as c
+from snapsift.llm.decontamination import decontaminate
+from snapsift.llm.language import keep_identified
 
 
 def test_each_stage_on_its_predecessors_rows(spark, sf):
@@ -59,3 +63,13 @@ def test_odd_rows(spark, odd, tmp_path):
             stage(spark, part, str(tmp_path)).write.parquet(f"{tmp_path}/{k}-{part is docs}")
         docs = spark.read.parquet(f"{tmp_path}/{k}-True")
     assert docs.count() > 0
+
+
+def test_rows_carry_their_texts_once(spark, odd, capsys):
+    """Texts beside whole rows were a second copy in every Arrow batch of a task."""
+    items = spark.createDataFrame([("a", "licensed under the apache license")], "item_id string, text string")
+    for found in (keep_identified(odd.limit(8)), decontaminate(odd.limit(8), items)):
+        found.explain(True)
+        assert "_text" not in capsys.readouterr().out
+    upper = odd.select("doc_id", F.col("text").alias("TEXT"), "lang")
+    assert decontaminate(upper, items).count() == odd.count() - 1

@@ -44,8 +44,10 @@ def test_points_meet_once_at_a_hub_that_many_ask(spark, monkeypatch):
     assert max(sum(r.asks for r in rs) for rs in rooms.values()) < 30
 
 
-def test_a_round_moves_features_by_edge(spark, monkeypatch):
+@pytest.mark.parametrize("edges_per_group", [40, 2_000])
+def test_a_round_moves_features_by_edge(spark, monkeypatch, edges_per_group):
     """All candidates of a round are compared, and features move at most twice per edge."""
+    monkeypatch.setattr(ann, "EDGES_PER_GROUP", edges_per_group)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(90, 6))
     points = spark.createDataFrame(

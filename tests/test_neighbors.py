@@ -105,3 +105,17 @@ def test_recall_on_the_vectors(spark, sf):
 
     row = QUERIES["knn_graph_recall"](spark, sf).first()
     assert row.recall >= 0.95 and row.most_candidates <= row.bound
+
+
+def test_chunks_of_visitors_grow_with_the_points():
+    """A unit's points were copied for every four blocks of visitors, however many there were."""
+    assert neighbors.visitors(100_000, 8, 11, 1024) == 4096
+    assert neighbors.visitors(5_400_000, 6, 11, 1024) == neighbors.MOST_VISITORS * 1024 == 16_384
+    assert 4096 < neighbors.visitors(360_000, 6, 11, 1024) < 8192
+    assert neighbors.visitors(5_400_000, 6, 101, 1024) * 101 <= neighbors.VISITOR_NEIGHBOURS
+
+
+def test_chunks_of_many_blocks_find_the_same(spark, monkeypatch):
+    records = clusters(spark, 1500, copies=100)
+    monkeypatch.setattr(neighbors, "visitors", lambda total, cores, keep, block_rows: total)
+    same(as_lists(neighbors.knn_graph(records, 4, block_rows=16)), brute(records, 4))
